@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.llm import mixing, near_dup, splitting, tokenizer
+from reviewloom.llm import incremental, mih, mixing, near_dup, splitting, tokenizer
 from reviewloom.sources.tables import table
 
 QUERIES = {
     "p1_found": lambda spark, d: near_dup.NearDuplicates(table(spark, d, "clean_reviews"), "seq", "cleaned_text").row_pairs(),
     "p1_links": lambda spark, d: near_dup.NearDuplicates(table(spark, d, "clean_reviews"), "seq", "cleaned_text").links(),
+    "p2_found": lambda spark, d: incremental.IncrementalIndex(spark).build(table(spark, d, "clean_reviews")).admit(table(spark, d, "new_reviews")).filter("duplicate").select("seq"),
+    "p5_found": lambda spark, d: mih.MultiIndex(table(spark, d, "chunk_vectors")).neighbour_pairs(),
     "p6_ids": lambda spark, d: tokenizer.encode_column(table(spark, d, "documents"), "doc_id", "text"),
     "p6_round_trip": lambda spark, d: tokenizer.decode_column(tokenizer.encode_column(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "ids"),
     "p7_report": lambda spark, d: mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1],
