@@ -38,7 +38,7 @@ NOT_NAMES = frozenset("not a an the my your our his her its it is was and or so
 # Cues of names: what stands before, and what must follow unless a known name follows the cue. None: the cue is enough.
 NAME_CUES: tuple[tuple[str, str | None], ...] = (
     ("name is ", r" and i (?:need|have|want)\b|[.,!?\n]|$"),
-    ("name of ", r"[.,!?\n]|\s*$|\s[.!?]"),
+    ("in the name of ", r"[.,!?\n]|\s*$|\s[.!?]|\s[^\W\d_]"),
     ("i am ", r" and i have\b"),
     ("i'm ", r" by the way\b"),
     ("this is ", r" here\b"),
@@ -70,6 +70,7 @@ _UNIT = re.compile(
 )
 _BOX = re.compile(r"(?:p\.? ?o\.? ?box|post box)(?: no\.?)?[ #:]{0,2}\d+")
 _TAIL = re.compile(rf"(?:,? (?:near )?{_TOWN} (?:residency|towers|heights|layout|nagar|colony|apartments|enclave|street|road|lane|cross|temple|park|society|complex))*(?:, {_TOWN})?(?: ?-? ?\d{{6}}\b)?")
+_WAY_TAIL = re.compile(rf"(?=, (?:near )?{_TOWN})(?:, near {_TOWN}(?: {_TOWN})?)?(?:, {_TOWN})?(?: ?-? ?\d{{6}}\b)?")
 _WAY_LEFT = re.compile(rf"(?:(?<=\s)|^|(?<=[(\[:,]))(\d+[a-z]?(?:[/\-]\d+)?,? (?:{_TOWN} ){{0,1}}{_TOWN})$")
 
 _TAX = re.compile(r"(?<![a-z0-9])[a-z]{5}\d{4}[a-z](?![a-z0-9])")
@@ -144,10 +145,8 @@ class Finder:
         left = _WAY_LEFT.search(low, max(0, start - 60), start)
         if left is None:
             return None
-        tail = re.match(rf"(?:, (?:near )?{_TOWN}(?: {_TOWN})?){{0,2}}(?: ?-? ?\d{{6}}\b)?", low[end : end + 120])
-        if not re.match(rf", (?:near )?{_TOWN}", low[end : end + 60]):
-            return None
-        return left.start(1), end + tail.end()
+        tail = _WAY_TAIL.match(low, end)
+        return (left.start(1), tail.end()) if tail else None
 
     def _unit(self, low: str, at: int) -> tuple[int, int] | None:
         if at and (low[at - 1].isalnum() or low[at - 1] == "."):
@@ -161,16 +160,17 @@ class Finder:
             return None  # "block 3 calls": a designator and a number alone
         return at, end
 
-    def _names(self, text: str, low: str, at: int, follow: re.Pattern | None, forced: bool = False) -> tuple[int, int] | None:
+    def _names(self, text: str, low: str, at: int, follow: re.Pattern | None) -> tuple[int, int] | None:
         m = _NAME.match(text, at)
         if m is None:
             return None
         first, second = m.group(1).lower(), (m.group(2) or "").lower()
         ends = [m.end()] + ([m.end(1)] if second else [])
         known = first in self.names or second in self.names and second not in ORDINARY
+        dotted = low.endswith(". ", 0, at)  # after "mr. " even an unknown word in lower case is a name
         for end in ends:
             if (follow is None or follow.match(low, end)) and first not in NOT_NAMES:
-                if known or forced or follow is not None or text[at].isupper():
+                if known or follow is not None or text[at].isupper() or dotted:
                     words = second if end == m.end() else ""
                     return at, (m.end(1) if words in NOT_NAMES else end)
         if first in self.names and first not in ORDINARY or first in self.names and second in self.names and self.names[second] != "given":
@@ -279,7 +279,7 @@ class Finder:
                     at += 1
         if not found:
             return []
-        found.sort()
+        found.sort(key=lambda v: (v[0], v[1], -v[2]))
         taken: list[tuple[str, int, int]] = []
         for _, start, end, kind in found:
             if all(end <= s or e <= start for _, s, e in taken):
