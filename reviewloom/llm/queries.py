@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.llm import incremental, mih, mixing, near_dup, pii, splitting, tokenizer
+from reviewloom.llm import incremental, mih, mixing, near_dup, peaks, pii, splitting, tokenizer
 from reviewloom.sources.tables import table
 
 QUERIES = {
     "p1_found": lambda spark, d: near_dup.NearDuplicates(table(spark, d, "clean_reviews"), "seq", "cleaned_text").row_pairs(),
     "p1_links": lambda spark, d: near_dup.NearDuplicates(table(spark, d, "clean_reviews"), "seq", "cleaned_text").links(),
     "p2_found": lambda spark, d: incremental.IncrementalIndex(spark).build(table(spark, d, "clean_reviews")).admit(table(spark, d, "new_reviews")).filter("duplicate").select("seq"),
+    "p3_found": lambda spark, d: peaks.Themes(table(spark, d, "clean_reviews")).same_theme(table(spark, d, "theme_pairs").filter("seq_a < seq_b")),
+    "p3_themes": lambda spark, d: peaks.Themes(table(spark, d, "clean_reviews")).report(),
     "p4_found": lambda spark, d: pii.find_values(table(spark, d, "clean_reviews"), table(spark, d, "known_names"), "seq", ["original_text", "cleaned_text"]).drop("end_pos"),
     "p4_redacted": lambda spark, d: pii.redact_columns(table(spark, d, "clean_reviews"), table(spark, d, "known_names"), "seq", ["original_text", "cleaned_text"]),
     "p5_found": lambda spark, d: mih.MultiIndex(table(spark, d, "chunk_vectors")).neighbour_pairs(),
