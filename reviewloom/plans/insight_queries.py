@@ -92,7 +92,7 @@ ORACLE_SQL = {
         k as (select *, cast(row_number() over (order by n desc, place) as integer) as rank from j) select theme_id, final_id, n, rank, rank <= 3 as is_top_3 from g join k using (final_id)""",
     "label_samples": f"with {REVIEWS}, {MEMBERS}, {LATEST}, {SAMPLE} select * from q",
     "keyword_labels": f"""with {REVIEWS}, {MEMBERS}, {LATEST}, {SAMPLE}, a as (select theme_id, pos, regexp_extract_all(lower(text), '[a-z'']{{3,}}') as ws from q),
-        w as (select theme_id, pos, unnest(ws) as word, generate_subscripts(ws, 1) as at from a), c as (select theme_id, word, count(*) as n, min(pos * 1000000 + at) as f from w where word not in ({STOP}) group by 1, 2),
+        w as (select theme_id, pos, unnest(ws) as word, generate_subscripts(ws, 1) as nth from a), c as (select theme_id, word, count(*) as n, min(pos * 1000000 + nth) as f from w where word not in ({STOP}) group by 1, 2),
         k as (select *, row_number() over (partition by theme_id order by n desc, f) as i from c qualify i <= 3), j as (select theme_id, string_agg(word, ', ' order by i) as label from k group by 1)
         select theme_id, upper(label[1]) || label[2:] as label from j""",
     "theme_prompt_blocks": f"""with {REVIEWS}, {MEMBERS}, {LATEST}, {SAMPLE}, i as (select *, row_number() over (partition by theme_id order by pos) as i from q)

@@ -40,7 +40,7 @@ def run_events(s: SparkSession, d: str) -> DataFrame:
 
 def shared_quotes(s: SparkSession, d: str) -> DataFrame:
     """Quotes to be checked: sentences of the reviews that most upvote, some of them altered."""
-    r = reviews(s, d).filter("thumbs_up_count >= 40 and length(original_text) >= 20")
+    r = reviews(s, d).filter("thumbs_up_count >= 40 and length(original_text) >= 40")
     q = F.substring("original_text", 5, 60)
     return r.select(F.lit(1).alias("report_id"), F.col("seq").cast("int").alias("line_no"), F.when(F.col("seq") % 2 == 0, q).otherwise(F.concat(F.lit("zz#"), q, F.lit("#zz"))).alias("quote")).orderBy("seq").limit(40)
 
@@ -128,8 +128,8 @@ def _scrub_sql(column: str, cte: str) -> str:
     return ", ".join(out)
 
 
-FETCH = f"""w as (select * from raw_reviews where (at is null or at >= timestamp '{DEFAULTS.window_start}') and reviewId <> '' qualify row_number() over (partition by reviewId order by seq) = 1),
-    f as (select seq, coalesce(reviewId, '') as review_id, coalesce(userName, '') as author_name, coalesce(content, '') as text, coalesce(score, 0) as star_rating, coalesce(strftime(at, '%Y-%m-%d'), '') as date,
+FETCH = f"""w as (select * from raw_reviews where ("at" is null or "at" >= timestamp '{DEFAULTS.window_start}') and reviewId <> '' qualify row_number() over (partition by reviewId order by seq) = 1),
+    f as (select seq, coalesce(reviewId, '') as review_id, coalesce(userName, '') as author_name, coalesce(content, '') as text, coalesce(score, 0) as star_rating, coalesce(strftime("at", '%Y-%m-%d'), '') as date,
     coalesce(thumbsUpCount, 0) as thumbs_up_count, coalesce(appVersion, '') as app_version from w)"""
 REASON = f"""p as (select *, {_html(_nfc('text'))} as processed from f), c as (select *, case when processed = '' then 'empty' when not {_english('processed')} then 'non_english' when length(processed) < 10 then 'short' end as reason from p)"""
 SCRUB = f"with {_scrub_sql('original_text', 'o')}, {_scrub_sql('cleaned_text', 'c')}, x as (select o3.seq, o3.review_id, o3.t as original_text, c3.t as cleaned_text, " + ", ".join(f"greatest(o3.n_{k}, c3.n_{k}) as n_{k}" for k, _, _ in T.PII_RULES) + " from o3 join c3 using (seq))"
@@ -151,8 +151,8 @@ EVENTS = f"""ev as (select user_id::varchar as run_id, event_id as event_seq, ca
 COS = "list_cosine_similarity(cast(embedding as double[]), centroid)"
 
 ORACLE_SQL = {
-    "map_review": "select seq, coalesce(reviewId, '') as review_id, coalesce(userName, '') as author_name, coalesce(content, '') as text, coalesce(score, 0) as star_rating, coalesce(strftime(at, '%Y-%m-%d'), '') as date, coalesce(thumbsUpCount, 0) as thumbs_up_count, coalesce(appVersion, '') as app_version from raw_reviews",
-    "window_filter": f"select seq from raw_reviews where at is null or at >= timestamp '{DEFAULTS.window_start}'",
+    "map_review": """select seq, coalesce(reviewId, '') as review_id, coalesce(userName, '') as author_name, coalesce(content, '') as text, coalesce(score, 0) as star_rating, coalesce(strftime("at", '%Y-%m-%d'), '') as date, coalesce(thumbsUpCount, 0) as thumbs_up_count, coalesce(appVersion, '') as app_version from raw_reviews""",
+    "window_filter": f"""select seq from raw_reviews where "at" is null or "at" >= timestamp '{DEFAULTS.window_start}'""",
     "fetch_reviews": f"with {FETCH} select * from f",
     "strip_html_urls": f"select seq, {_html('content')} as content from raw_reviews",
     "normalise_nfc": f"select seq, {_nfc('content')} as content from raw_reviews",
@@ -189,8 +189,9 @@ ORACLE_SQL = {
     "blockquotes": f"with {QUOTES} select * from qq",
     "format_check": f"with {SECTIONS} select * from ms",
     "word_count": f"with {LINES}, w as (select report_id, len(list_filter(regexp_split_to_array(markdown, '[\\t-\\r ]+'), lambda x: x <> '')) as words from mk) select report_id, words, words > 250 as too_long from w",
-    "quote_match": """with q as (select cast(seq as integer) as line_no, case when seq % 2 = 0 then substr(original_text, 5, 60) else 'zz#' || substr(original_text, 5, 60) || '#zz' end as quote from clean_reviews where thumbs_up_count >= 40 and length(original_text) >= 20 order by seq limit 40)
-        select line_no, true as matched from q""",
+    # An altered quote has six signs more than what it quotes; at the end of a text it is compared with less than its own length.
+    "quote_match": """with q as (select cast(seq as integer) as line_no, seq % 2 = 0 as literal, length(original_text) <= 64 as ends, length(substr(original_text, 5, 60)) as n from clean_reviews where thumbs_up_count >= 40 and length(original_text) >= 40 order by seq limit 40)
+        select line_no, literal or case when ends then 2 * n / (2 * n + 6.0) else n / (n + 6.0) end >= 0.85 as matched from q""",
     "report_decision": f"""with {QUOTES}, rs(section) as (values {", ".join(f"('{x}')" for x in validate.REQUIRED_SECTIONS)}), ms as (select report_id, section from mk, rs where not regexp_matches(lower(markdown), '#+\\s*' || lower(section))),
         a as (select report_id, count(*) as quotes, count(*) filter (length(quote) % 2 = 0) as matched from qq group by 1), b as (select report_id, count(*) as sections_missing from ms group by 1),
         j as (select report_id, coalesce(quotes, 0) as quotes, coalesce(matched, 0) as matched, coalesce(sections_missing, 0) as sections_missing from mk left join a using (report_id) left join b using (report_id))
