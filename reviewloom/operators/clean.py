@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.config import DEFAULTS, EngineConfig
 from reviewloom.functions import text as T
+from reviewloom.staging import spread, stage
 
 #: Why a review is dropped, in the order the checks are made.
 REASONS = ("empty", "non_english", "short")
@@ -43,7 +44,7 @@ def with_reason(raw: DataFrame, cfg: EngineConfig = DEFAULTS, form: str = "NFKC"
 
     english: another language predicate over the column ``processed``.
     """
-    rows = raw.withColumn("processed", T.strip_html_urls(T.normalise_unicode(F.coalesce("text", F.lit("")), form)))
+    rows = spread(raw).withColumn("processed", T.strip_html_urls(T.normalise_unicode(F.coalesce("text", F.lit("")), form)))
     p = F.col("processed")
     judged = english if english is not None else T.is_english(p)
     reason = F.when(p == "", "empty").when(~judged, "non_english").when(F.length(p) < cfg.min_review_length, "short")
@@ -69,7 +70,7 @@ def pii_scrub(reviews: DataFrame) -> DataFrame:
     original, in_original = T.scrub(F.col("original_text"))
     cleaned, in_cleaned = T.scrub(F.col("cleaned_text"))
     counts = [F.greatest(in_original[k], in_cleaned[k]).alias(f"n_{k}") for k in in_original]
-    return reviews.select("seq", "review_id", original.alias("original_text"), cleaned.alias("cleaned_text"), *counts)
+    return spread(reviews.select("seq", "review_id", "original_text", "cleaned_text")).select("seq", "review_id", original.alias("original_text"), cleaned.alias("cleaned_text"), *counts)
 
 
 def pii_counts(reviews: DataFrame) -> DataFrame:
@@ -91,8 +92,6 @@ def row_numbers(df: DataFrame, order: str, name: str = "row_no") -> DataFrame:
 
     Rows are cut into ranges by range partitioning of the order; each range numbers its own rows and adds the sizes of those before.
     """
-    from reviewloom.staging import stage
-
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = stage(df.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.config import DEFAULTS, EngineConfig
 from reviewloom.functions import text as T
-from reviewloom.staging import stage
+from reviewloom.staging import spread, stage
 
 
 def shingle_rows(reviews: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:
@@ -26,7 +26,7 @@ class ShingleNeighbours:
 
     def __init__(self, reviews: DataFrame, cfg: EngineConfig = DEFAULTS) -> None:
         t = cfg.near_dup_threshold
-        rows = reviews.select("seq", F.coalesce("date", F.lit("")).alias("date"), F.array_sort(T.shingles(F.col("cleaned_text"), cfg.shingle_words)).alias("s"))
+        rows = spread(reviews.select("seq", "date", "cleaned_text")).select("seq", F.coalesce("date", F.lit("")).alias("date"), F.array_sort(T.shingles(F.col("cleaned_text"), cfg.shingle_words)).alias("s"))
         key = F.sha2(F.array_join("s", "\n"), 256)
         keyed = stage(rows.withColumn("key", key), "shingles")
         heads = keyed.groupBy("key").agg(F.min("seq").alias("cls"))
