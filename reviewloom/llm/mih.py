@@ -10,6 +10,9 @@ Each index is distributed by the leading bits of the substring, more of them as
 about ``PART`` codes; a vector is sent only to the parts that its probes can reach, and parts whose keys are crowded are
 divided further.
 
+That serves neighbours above a floor. The nearest at any cosine (``nearest``) can be half of all bits away, where probing
+retrieves most of the collection, so every vector is compared with every other, in tiles of ``TILE`` by ``TILE`` vectors.
+
 Vectors that are null, hold nulls or NaN, are all zeros, or have another length than most, take no part. Equal vectors are
 one class until the ranking, in which each row counts by itself; ties go to the smaller seq; a row is no neighbour of itself.
 """
@@ -32,6 +35,8 @@ BITS, SUBSTRINGS, RADIUS = 64, 4, 11
 #: A retrieved code this many bits beyond the radius is still ranked: the probes find some of those as well.
 BEYOND = 3
 PART = 100_000
+#: Vectors on a side of a tile when all are compared with all.
+TILE = 32_768
 _SUB = BITS // SUBSTRINGS
 
 
@@ -64,6 +69,34 @@ def masks_within(bits: int, radius: int) -> np.ndarray:
     return x[np.bitwise_count(x) <= radius]
 
 
+def top_of(x: np.ndarray, y: np.ndarray, x_rep: np.ndarray, y_rep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine): of each row of x the k rows of y of greatest cosine, ties by rep, without the row itself; unit rows."""
+    groups = max(1, min(512, len(y) // 4))
+    width = -(-len(y) // groups)
+    data = np.zeros((groups * width, y.shape[1]), np.float32)
+    data[: len(y)] = y
+    out: list[tuple[np.ndarray, ...]] = []
+    for at in range(0, len(x), 256):
+        s = x[at : at + 256].astype(np.float32) @ data.T
+        s[:, len(y) :] = -2
+        best = s.reshape(len(s), width, groups).max(axis=1)
+        # At least k + 1 rows reach the (k + 1)-th greatest of the groups' maxima; the margin covers single precision.
+        least = np.partition(best, groups - k - 1, axis=1)[:, groups - k - 1] if groups > k else np.full(len(s), -1.5, np.float32)
+        i, j = np.nonzero(s >= np.maximum(least - 1e-5, -1.5)[:, None])
+        i += at
+        other = x_rep[i] != y_rep[j]
+        i, j = i[other], j[other]
+        c = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[i[t : t + 100_000]], y[j[t : t + 100_000]]) for t in range(0, len(i), 100_000))])
+        c = np.round(np.minimum(c, 1.0), 12)
+        order = np.lexsort((y_rep[j], -c, i))
+        i, j, c = i[order], j[order], c[order]
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+        place = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
+        keep = place < k
+        out.append((x_rep[i[keep]], y_rep[j[keep]], c[keep]))
+    return tuple(np.concatenate(t) for t in zip(*out))
+
+
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(seq, v): the rows whose vectors can be compared."""
     v = F.col("v")
@@ -202,10 +235,34 @@ class MultiIndex:
     def neighbours(self, k: int = 5) -> DataFrame:
         """(seq, neighbour, cosine, rank): the ``k`` most similar rows of each row that are at the floor or above."""
         pairs = stage(self.class_pairs(), "cosines")
+        return self._ranked(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")), k)
+
+    def nearest(self, k: int = 5) -> DataFrame:
+        """(seq, neighbour, cosine, rank): the ``k`` most similar rows of each row at any cosine, exact."""
+        dim = self.dim
+        tiles = max(1, -(-self.classes.count() // TILE))
+        own, other = F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(tiles)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+        placed = self.classes.select("rep", "v", own.alias("own"), other.alias("other")).select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "v")
+
+        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            rep, first = pdf["rep"].to_numpy(), (pdf["own"] == pdf["low"]).to_numpy()
+            low, high = int(pdf["low"].iat[0]), int(pdf["high"].iat[0])
+            sides = [(first, first)] if low == high else [(first, ~first), (~first, first)]
+            found = [top_of(x[p], x[q], rep[p], rep[q], k) for p, q in sides if p.any() and q.any()]
+            a, b, c = (np.concatenate(t) for t in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            return pd.DataFrame({"a": a, "b": b, "cosine": c})
+
+        if not dim:
+            return self._ranked(self.spark.createDataFrame([], "a long, b long, cosine double"), k)
+        return self._ranked(placed.groupBy("low", "high").applyInPandas(compare, "a long, b long, cosine double"), k)
+
+    def _ranked(self, both: DataFrame, k: int) -> DataFrame:
+        """The first ``k`` rows of each row, from classes b near to classes a."""
         members = stage(self.rows.join(self.classes.filter("copies > 1").select("v", "rep"), "v").select("rep", "seq").unionByName(self.classes.filter("copies = 1").select("rep", F.col("rep").alias("seq"))), "members")
         by_seq = Window.partitionBy("rep").orderBy("seq")
         few = members.withColumn("n", F.row_number().over(by_seq)).filter(F.col("n") <= k + 1)
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
         offered = (
             both.join(few.filter(F.col("n") <= k).select(F.col("rep").alias("b"), F.col("seq").alias("neighbour")), "b").select(F.col("a").alias("rep"), "neighbour", "cosine")
             .unionByName(few.join(self.classes.filter("copies > 1").select("rep"), "rep", "left_semi").select("rep", F.col("seq").alias("neighbour"), F.lit(1.0).alias("cosine")))

@@ -16,6 +16,7 @@ QUERIES = {
     "p4_found": lambda spark, d: pii.find_values(table(spark, d, "clean_reviews"), table(spark, d, "known_names"), "seq", ["original_text", "cleaned_text"]).drop("end_pos"),
     "p4_redacted": lambda spark, d: pii.redact_columns(table(spark, d, "clean_reviews"), table(spark, d, "known_names"), "seq", ["original_text", "cleaned_text"]),
     "p5_found": lambda spark, d: mih.MultiIndex(table(spark, d, "chunk_vectors")).neighbour_pairs(),
+    "p5_neighbours": lambda spark, d: mih.MultiIndex(table(spark, d, "chunk_vectors")).nearest(),
     "p6_ids": lambda spark, d: tokenizer.encode_column(table(spark, d, "documents"), "doc_id", "text"),
     "p6_round_trip": lambda spark, d: tokenizer.decode_column(tokenizer.encode_column(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "ids"),
     "p7_report": lambda spark, d: mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1],

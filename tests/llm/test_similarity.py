@@ -193,6 +193,30 @@ def test_neighbours_across_many_parts(spark, monkeypatch):
     assert len(got & brute_pairs(rows)) >= 0.97 * len(brute_pairs(rows)) and got <= brute_pairs(rows)
 
 
+def brute_nearest(rows, k=5):
+    ok = [i for i, r in enumerate(rows) if r is not None and len(r) == 64 and all(x is not None and x == x for x in r) and any(r)]
+    x = np.array([rows[i] for i in ok], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(np.minimum(x @ x.T, 1), 12)
+    return {(ok[a], ok[b], n) for a in range(len(ok)) for n, b in enumerate(sorted((b for b in range(len(ok)) if b != a), key=lambda b: (-s[a, b], ok[b]))[:k], 1)}
+
+
+@pytest.mark.parametrize("tile", [32_768, 70])
+def test_five_nearest_at_any_cosine(spark, monkeypatch, tile):
+    monkeypatch.setattr(mih, "TILE", tile)
+    rows = vectors()
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "seq long, embedding array<float>")
+    got = [(r["seq"], r["neighbour"], r["rank"]) for r in mih.MultiIndex(df).nearest().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_nearest(rows)
+
+
+def test_nearest_of_few_and_of_none(spark):
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, None)], "seq long, embedding array<float>")
+    got = {(r["seq"], r["neighbour"], r["rank"]) for r in mih.MultiIndex(few).nearest().collect()}
+    assert got == {(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 2, 1), (3, 1, 2)}
+    assert mih.MultiIndex(few.filter("seq = 4")).nearest().count() == 0
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([(1, None)], "seq long, embedding array<float>")
     assert mih.MultiIndex(empty).neighbour_pairs().count() == 0
