@@ -38,11 +38,16 @@ def run_events(s: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("event_seq"), F.when(F.col("event_id") % 3 != 0, status).alias("status"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("step"))
 
 
-def shared_quotes(s: SparkSession, d: str) -> DataFrame:
-    """Quotes to be checked: sentences of the reviews that most upvote, some of them altered."""
+def all_shared_quotes(s: SparkSession, d: str) -> DataFrame:
+    """Quotes to be checked: pieces of all reviews with 40 votes or more, every other one altered."""
     r = reviews(s, d).filter("thumbs_up_count >= 40 and length(original_text) >= 40")
     q = F.substring("original_text", 5, 60)
-    return r.select(F.lit(1).alias("report_id"), F.col("seq").cast("int").alias("line_no"), F.when(F.col("seq") % 2 == 0, q).otherwise(F.concat(F.lit("zz#"), q, F.lit("#zz"))).alias("quote")).orderBy("seq").limit(40)
+    return r.select(F.lit(1).alias("report_id"), F.col("seq").cast("int").alias("line_no"), F.when(F.col("seq") % 2 == 0, q).otherwise(F.concat(F.lit("zz#"), q, F.lit("#zz"))).alias("quote"))
+
+
+def shared_quotes(s: SparkSession, d: str) -> DataFrame:
+    """The 40 of these quotes with the smallest seq, as the SQL of quote_match states them."""
+    return all_shared_quotes(s, d).orderBy("line_no").limit(40)
 
 
 QUERIES = {
@@ -82,6 +87,7 @@ QUERIES = {
     "format_check": lambda s, d: validate.missing_sections(reports(s, d)),
     "word_count": lambda s, d: validate.word_count(reports(s, d)),
     "quote_match": lambda s, d: validate.quote_match(shared_quotes(s, d), reviews(s, d)).select("line_no", "matched"),
+    "quote_match_all": lambda s, d: validate.quote_match(all_shared_quotes(s, d), reviews(s, d)).select("line_no", "matched"),
     "report_decision": lambda s, d: validate.decide(reports(s, d), validate.blockquotes(reports(s, d)).withColumn("matched", F.length("quote") % 2 == 0), validate.missing_sections(reports(s, d))),
     "theme_coverage": lambda s, d: validate.theme_coverage(reports(s, d), members(s, d).filter("theme_id >= 0").groupBy("theme_id").agg(F.count("*").alias("n")).withColumn("label", F.element_at(F.array(*map(F.lit, ("app", "Login", "fees", "")),), F.col("theme_id") % 4 + 1))),
     "run_latest": lambda s, d: registry.latest(run_events(s, d)),
