@@ -294,6 +294,17 @@ def test_levels_of_leaders(spark):
     assert t.row_labels().count() == df.count() and 10 <= t.row_labels().filter("theme_id > 0").select("theme_id").distinct().count() <= 14
 
 
+def test_densities_are_those_of_the_whole_collection(spark):
+    df = spark.createDataFrame(subjects(600, random.Random(8)), "seq long, cleaned_text string")
+    whole, tiled = peaks.Themes(df), peaks.Themes(df, block=100)
+    a, b = ({r["rep"]: r for r in t.pointers.collect()} for t in (whole, tiled))
+    assert len(a) == 600 and set(a) == set(b)
+    assert all(abs(a[k]["rho"] - b[k]["rho"]) < 1e-5 * a[k]["rho"] and abs(a[k]["delta"] - b[k]["delta"]) < 1e-4 for k in a)
+    assert all(r["parent"] == k or (b[r["parent"]]["rho"], -r["parent"]) > (r["rho"], -k) for k, r in b.items())
+    labels = [dict(map(tuple, t.row_labels().collect())) for t in (whole, tiled)]
+    assert sum(labels[0][k] == labels[1][k] for k in a) >= 0.99 * len(a)
+
+
 def test_themes_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "two words")], "seq long, cleaned_text string")
     assert {tuple(r) for r in peaks.Themes(df).row_labels().collect()} == {(1, 0), (2, 0)}
