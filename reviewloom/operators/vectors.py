@@ -151,7 +151,7 @@ def reduce_dimensions(vectors: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataF
     return model.transform(unit).withColumn("reduced", vector_to_array("pc")).drop("unit", "pc")
 
 
-def kmeans(vectors: DataFrame, cfg: EngineConfig = DEFAULTS, starts: int = 3) -> DataFrame:
+def kmeans(vectors: DataFrame, cfg: EngineConfig = DEFAULTS, starts: int = 10) -> DataFrame:
     """(chunk_id, review_id, label): k-means over the unit vectors, the cheapest of some starts."""
     from pyspark.ml.clustering import KMeans
 

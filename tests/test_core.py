@@ -298,3 +298,12 @@ def test_all_quotes_are_matched(spark, tmp_path):
     got = {r["line_no"]: r["matched"] for r in catalog.QUERIES["quote_match_all"](spark, str(tmp_path)).collect()}
     quotes = [t[4:64] if i % 2 == 0 else f"zz#{t[4:64]}#zz" for i, t in enumerate(texts)]
     assert got == {i: any(validate.partial_ratio(q, t) >= 85 for t in texts) for i, q in enumerate(quotes)} and len(got) == 60
+
+
+def test_kmeans_takes_the_best_of_ten_starts(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    seeds, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, *a: seeds.append(self.getSeed()) or fit(self, *a))
+    df = spark.createDataFrame([(f"c{i}", f"r{i}", [float(i % 5), 1.0]) for i in range(20)], "chunk_id string, review_id string, embedding array<float>")
+    assert vectors.kmeans(df).count() == 20 and seeds == list(range(42, 52))
