@@ -2,7 +2,8 @@
 
 A staged table is parquet in the folder the cluster shares
 (``spark.checkpoint.dir``). Only a ``local[..]`` master, where driver and
-executors are one machine, may fall back to a temporary folder.
+executors are one machine, may fall back to a temporary folder. Stage folders
+are deleted when the driver ends, or earlier by ``unstage``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK = "reviewloom.staging.fallback"
+#: A plan is spread if its estimated bytes would make fewer splits of this size than there are cores.
+SPLIT_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
+def filesystem(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path) of a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/reviewloom/{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder, which is deleted when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/reviewloom/{uuid.uuid4().hex}"
+    fs, p = filesystem(spark, folder)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{folder}/{name}"
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -47,13 +61,26 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_path = path
+    return found
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Deletes the folders of staged tables that nothing lazily evaluated reads any more; other frames are left alone."""
+    for df in staged:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            fs, p = filesystem(df.sparkSession, path)
+            fs.delete(p.getParent(), True)
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Spreads a small input over all cores before costly per-row work.
 
-    Inputs that already have that many splits are left alone, so at scale this adds no shuffle.
+    Judged by the optimiser's estimate of the plan's size, so nothing is executed for it. Larger inputs have enough splits
+    and are left alone: at scale this adds no shuffle.
     """
     want = least or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= want * SPLIT_BYTES else df.repartition(want)
