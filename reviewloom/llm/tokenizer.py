@@ -4,7 +4,8 @@ Merges are compiled into one observation: a sequence of tokens is the BPE encodi
 adjacent tokens are what BPE gives for their joint bytes. The transducer reads bytes; its non-deterministic states are
 (tokens guessed but not yet certain, place in the token trie). Subsets of them are determinised as they are met; a token
 is emitted once all surviving guesses agree on it, which takes a lookahead of at most the longest token. Time is linear
-in the text, whatever the length of a run without boundaries.
+in the text, whatever the length of a run without boundaries. Words of ordinary length are encoded once in a process and
+kept; they run through the same configurations without determinising them, which pays only for what comes again.
 
 Null and empty texts have an empty list of ids. Strings that look like special tokens are ordinary text.
 """
@@ -13,17 +14,20 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.staging import spread
 
-#: Where the public vocabularies lie on every machine; a parameter of all operators below.
+#: Where the public vocabularies lie on the driver's machine, which sends them on; a parameter of all operators below.
 TOKENIZER_DIR = os.environ.get("REVIEWLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
 
@@ -31,6 +35,8 @@ VOCABULARY = "byte_bpe_50k"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # The same with white space as the Unicode property, whatever \s means to the regex library.
 _SPLIT = regex.compile(SPLIT.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+# The same for texts of ASCII alone, where the faster library will do.
+_SPLIT_ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 #: Bounds of the memory that a worker keeps between texts; beyond them it starts afresh, results don't change.
 MEMO_WORDS, MEMO_CHARS, MAX_STATES = 150_000, 48, 60_000
@@ -50,6 +56,22 @@ class _State:
         self.last, self.configs, self.step, self.final = last, configs, {}, None
 
 
+class _Memo(dict):
+    """Ids of pre-tokens, computed when first asked for; long ones are not kept."""
+
+    def __init__(self, encode, run) -> None:
+        super().__init__()
+        self._encode, self._run = encode, run
+
+    def __missing__(self, w: str) -> list[int]:
+        if len(w) > MEMO_CHARS:
+            return self._encode(w.encode("utf-8"))
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        ids = self[w] = self._run(w.encode("utf-8"))
+        return ids
+
+
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -63,7 +85,8 @@ class ByteBPE:
                 node = self._edge.get(key) or self._grow(key)
             self._token_at[node] = rank
         self._fits: dict[int, bool] = {}
-        self._memo: dict[str, list[int]] = {}
+        self._split: dict[int, tuple[int, int] | None] = {}
+        self.ids_of = _Memo(self.encode_bytes, self.run_once)
         self._reset()
 
     def _grow(self, key: int) -> int:
@@ -82,32 +105,61 @@ class ByteBPE:
             found = self._states[key] = _State(last, configs)
         return found
 
-    def merged(self, data: bytes) -> list[int]:
-        """BPE by its definition: the leftmost pair of lowest rank is merged until no pair is a token."""
+    def merged(self, data: bytes, below: int = 1 << 40) -> list[int]:
+        """BPE by its definition: the leftmost pair of lowest rank is merged until no pair is a token of a rank ``below`` the given one."""
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = self.ranks
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
+                if r is not None and r < below and (best is None or r < best):
                     best, at = r, i
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge is ``token``; None for a single byte, and for a token that merges don't reach."""
+        if token not in self._split:
+            data = self.bytes_of[token]
+            parts = self.merged(data, token) if len(data) > 1 else []
+            self._split[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self._split[token]
+
     def fits(self, a: int, b: int) -> bool:
-        """Whether BPE leaves the boundary between the tokens a and b."""
+        """Whether BPE leaves the boundary between the tokens a and b.
+
+        Merges are undone from the latest back, on the side that was merged last. The boundary falls if what touches it at
+        some time has a merge that comes before all that were undone.
+        """
         key = a << 20 | b
         known = self._fits.get(key)
         if known is None:
             if len(self._fits) > 2_000_000:
                 self._fits.clear()
-            x, y = self.bytes_of[a], self.bytes_of[b]
-            known = self._fits[key] = x + y not in self.ranks and self.merged(x + y) == [a, b]
+            known = self._fits[key] = self._boundary_holds(a, b)
         return known
 
+    def _boundary_holds(self, a: int, b: int) -> bool:
+        ranks, bytes_of = self.ranks, self.bytes_of
+        undone_left, undone_right = 1 << 40, 1 << 40
+        while True:
+            joint = ranks.get(bytes_of[a] + bytes_of[b])
+            # Of equal merges the leftmost is first: one at the boundary precedes one to its right, but not one to its left.
+            if joint is not None and joint < undone_left and joint <= undone_right:
+                return False
+            left, right = self._halves(a), self._halves(b)
+            if left is None and right is None:
+                return True
+            if right is None or left is not None and a > b:
+                undone_left, undone_right = min(undone_left, a), min(undone_right, a)
+                a = left[1]
+            else:
+                undone_left, undone_right = min(undone_left, b + 1), min(undone_right, b)
+                b = right[0]
+
     def _advance(self, state: _State, b: int) -> tuple[_State, tuple]:
         configs = []
         for pending, node in state.configs:
@@ -135,6 +187,36 @@ class ByteBPE:
         state.final = next(p for p, n in state.configs if n == 0)
         return state.final
 
+    def run_once(self, data: bytes) -> list[int]:
+        """The ids of a pre-token by one run through the transducer's configurations as they are, without determinising them.
+
+        Pre-tokens that are kept once encoded don't come again, so states made for them would be used but once. A prefix has
+        one encoding, so a configuration is where its unfinished token starts and its place in the trie.
+        """
+        token = self.ranks.get(data)
+        if token is not None:
+            return [token]
+        edge, token_at, fits = self._edge, self._token_at, self.fits
+        last, start = [-1] * (len(data) + 1), [0] * (len(data) + 1)
+        live: list[tuple[int, int]] = []
+        for i, b in enumerate(data):
+            live.append((i, 0))
+            grown = []
+            for s, node in live:
+                child = edge.get(node << 8 | b)
+                if child is not None:
+                    grown.append((s, child))
+                    t = token_at[child]
+                    if t >= 0 and last[i + 1] < 0 and (not s or fits(last[s], t)):
+                        last[i + 1], start[i + 1] = t, s
+            live = grown
+        out, at = [], len(data)
+        while at:
+            out.append(last[at])
+            at = start[at]
+        out.reverse()
+        return out
+
     def encode_bytes(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
         token = self.ranks.get(data)
@@ -153,33 +235,19 @@ class ByteBPE:
         out += state.final if state.final is not None else self._final(state)
         return out
 
-    def word(self, w: str) -> list[int]:
-        ids = self.encode_bytes(w.encode("utf-8"))
-        if len(w) <= MEMO_CHARS:
-            if len(self._memo) >= MEMO_WORDS:
-                self._memo.clear()
-            self._memo[w] = ids
-        return ids
-
     def words(self, text: str) -> list[str]:
         """The pre-tokens; joined they are the text."""
-        return _SPLIT.findall(text)
+        return (_SPLIT_ASCII if text.isascii() else _SPLIT).findall(text)
+
+    def sizes(self, words: list[str]) -> list[int]:
+        """The number of tokens of each pre-token."""
+        return list(map(len, map(self.ids_of.__getitem__, words)))
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        memo = self._memo
-        for w in _SPLIT.findall(text):
-            out += memo.get(w) or self.word(w)
-        return out
+        return list(chain.from_iterable(map(self.ids_of.__getitem__, self.words(text)))) if text else []
 
     def count(self, text: str | None) -> int:
-        n = 0
-        memo = self._memo
-        for w in _SPLIT.findall(text or ""):
-            n += len(memo.get(w) or self.word(w))
-        return n
+        return sum(map(len, map(self.ids_of.__getitem__, self.words(text)))) if text else 0
 
 
 def _utf8_machine() -> list[dict[int, int]]:
@@ -250,14 +318,32 @@ class StreamDecoder:
 _loaded: dict[str, ByteBPE] = {}
 
 
+def _path(directory: str, name: str) -> str:
+    return os.path.join(directory, f"{name}.tiktoken")
+
+
 def bpe(directory: str = TOKENIZER_DIR, name: str = VOCABULARY) -> ByteBPE:
     """The tokenizer of this process; the vocabulary is read once."""
-    path = os.path.join(directory, f"{name}.tiktoken")
+    path = _path(directory, name)
     if path not in _loaded:
         _loaded[path] = ByteBPE(read_ranks(path))
     return _loaded[path]
 
 
+class Vocabulary:
+    """A vocabulary read on the driver and sent to the workers (some 50,000 byte strings): they need no such file."""
+
+    def __init__(self, spark: SparkSession, directory: str = TOKENIZER_DIR, name: str = VOCABULARY) -> None:
+        self.path = _path(directory, name)
+        self.ranks = spark.sparkContext.broadcast(read_ranks(self.path))
+
+    def bpe(self) -> ByteBPE:
+        """The tokenizer of the worker's process, which is kept from task to task."""
+        if self.path not in _loaded:
+            _loaded[self.path] = ByteBPE(self.ranks.value)
+        return _loaded[self.path]
+
+
 def int_lists(rows: list[list[int]]) -> pa.ListArray:
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     offsets = np.zeros(len(rows) + 1, np.int32)
@@ -270,9 +356,10 @@ def int_lists(rows: list[list[int]]) -> pa.ListArray:
 
 def encode_column(df: DataFrame, key: str, text: str, directory: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
     """(key, ids) of every row; null and empty texts have an empty list. Other columns are left out."""
+    vocabulary = Vocabulary(df.sparkSession, directory, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = bpe(directory, name)
+        t = vocabulary.bpe()
         for batch in batches:
             # Ids are built for some rows at a time, so that a batch of very long texts stays small.
             for at in range(0, batch.num_rows, 512):
@@ -287,20 +374,21 @@ def encode_column(df: DataFrame, key: str, text: str, directory: str = TOKENIZER
 
 def count_column(df: DataFrame, key: str, text: str, out: str = "n_tokens", directory: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
     """``df`` with the number of tokens of ``text``; ids are never materialised. 0 for null and empty texts."""
+    vocabulary = Vocabulary(df.sparkSession, directory, name)
 
     @F.pandas_udf("int")
-    def tokens(texts):
-        t = bpe(directory, name)
-        return texts.map(t.count, na_action=None)
+    def tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(map(vocabulary.bpe().count, texts)), dtype="int32")
 
     return spread(df).withColumn(out, tokens(F.col(text)))
 
 
 def decode_column(df: DataFrame, key: str, ids: str, directory: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
     """(key, text): the ids of each row decoded by the streaming decoder. A null list gives the empty text."""
+    vocabulary = Vocabulary(df.sparkSession, directory, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = StreamDecoder(bpe(directory, name))
+        stream = StreamDecoder(vocabulary.bpe())
         for batch in batches:
             texts = [stream.push(x or []) + stream.close() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "text"])

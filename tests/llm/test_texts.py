@@ -39,12 +39,23 @@ SIGNS = st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list
 @given(st.text(SIGNS, max_size=60))
 def test_any_text_equals_definition_and_round_trips(text):
     ids = B.encode(text)
-    assert ids == [i for w in B.words(text) for i in B.merged(w.encode())]
+    assert ids == [i for w in B.words(text) for i in B.merged(w.encode())] == [i for w in B.words(text) for i in B.encode_bytes(w.encode())]
     d = tokenizer.StreamDecoder(B)
     assert d.push(ids) + d.close() == text
     assert "".join(d.push([i]) for i in ids) + d.close() == text
 
 
+def test_boundaries_by_undoing_merges():
+    rng = random.Random(4)
+    for _ in range(20_000):
+        a, b = rng.choice((rng.randrange(50_256), rng.randrange(1500))), rng.choice((rng.randrange(50_256), rng.randrange(1500)))
+        x, y = B.bytes_of[a], B.bytes_of[b]
+        assert B.fits(a, b) == (x + y not in B.ranks and B.merged(x + y) == [a, b])
+    for c in "ab= \n-":
+        for n in range(1, 40):
+            assert B.run_once((c * n).encode()) == B.encode_bytes((c * n).encode()) == B.merged((c * n).encode())
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 50255), max_size=12))
 def test_any_ids_decode_like_python(ids):
@@ -107,18 +118,21 @@ def test_cuts_prefer_natural_boundaries():
     assert {p[5] for p in splitting.split_text(B, words)} == {"word", "end"}
 
 
-def test_dynamic_program_is_optimal():
+@pytest.mark.parametrize("seed", range(25))
+def test_dynamic_program_is_optimal(seed):
+    """Over all boundaries of all kinds, although word boundaries of short sentences aren't looked at."""
     import itertools
 
     import numpy as np
 
-    rng = random.Random(2)
+    rng = random.Random(seed)
     tokens = np.cumsum([0] + [rng.randint(1, 6) for _ in range(13)])
-    kinds = np.array([0] + [rng.choice([0, 1, 1]) for _ in range(12)] + [0])
-    limit, overlap = 14, 0
-    _, ends = splitting.cuts(tokens, kinds, limit, overlap)
+    kinds = np.array([0] + [rng.choice([0, 1, 2, 2, 2, 3]) for _ in range(12)] + [0])
+    limit = 14
+    _, ends = splitting.cuts(tokens, kinds, limit, 0)
     total = tokens[-1]
     even = min(limit, total / max(1, -(-total // limit)))
+    penalty = splitting.penalties(14)
 
     def cost(inner):
         at, c = 0, 0.0
@@ -126,12 +140,19 @@ def test_dynamic_program_is_optimal():
             size = tokens[e] - tokens[at]
             if size > limit:
                 return np.inf
-            c += 1 + splitting.EVENNESS * ((size - even) / limit) ** 2 + splitting.PENALTY[kinds[e]]
+            c += 1 + splitting.EVENNESS * ((size - even) / limit) ** 2 + penalty[kinds[e]]
             at = e
         return c
 
     best = min(cost(c) for n in range(13) for c in itertools.combinations(range(1, 13), n))
-    assert cost(ends[:-1]) == pytest.approx(best)
+    assert cost(ends[:-1]) == pytest.approx(best, abs=1e-6)
+
+
+def test_runs_that_hardly_divide():
+    for text in ("\U0001f9ff\U0001fae0" * 900, "=" * 90_000 + "x", "\n\n\n \n" * 2000, "a\n\n\n\n" * 900, "क्ष" * 3000):
+        check_pieces(text, splitting.split_text(B, text), 512, 64)
+    with pytest.raises(ValueError):
+        splitting.split_text(B, "\U0001f9ff" * 9, 2, 0)
 
 
 def test_split_columns(spark):
