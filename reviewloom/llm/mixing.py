@@ -1,12 +1,13 @@
 """Mixing sources to target shares of a total size in tokens, by entropy balancing.
 
-Each document gets a rate, the number of copies it should have on average. Rates stay as near to one copy each (in
-relative entropy) as the constraints allow: a source's tokens must come to its share of the total, and its mean document
-length must stay what it is. The dual of that problem is convex; Newton steps on it need a gradient and a Hessian for each
-source, which are sums over all documents, taken in one aggregation an iteration over (source, token count, documents).
-Rates are exp(a + b * tokens) with a and b of the source, at most ``max_repeats``. They are rounded into copies from the
-longest documents down, each length making up for what rounding the longer ones left, so that a source misses its
-tokens by about half of a short document where it has short ones.
+Each document gets a rate, the number of copies it should have on average. Rates stay as near as the constraints allow, in
+relative entropy, to a common base rate: that at which the named sources together come to the total asked for. Each source's
+tokens must come to its share of the total, and no rate exceeds ``max_repeats``. The dual of that problem is convex with one
+multiplier a source; its solution is exponentially tilted: rates are base * exp(multiplier * tokens), at most max_repeats. A
+source that gives less than at the base rate loses its long documents first, one that gives more repeats them first. Newton
+steps for all sources at once need two sums each, taken over all documents in one aggregation an iteration, from (source,
+token count, documents). Rates are rounded into copies from the longest documents down, each length making up for what
+rounding the longer ones left, so that a source misses its tokens by about half of a short document where it has short ones.
 
 Sources compare after trimming and lower-casing. Documents without tokens, with a null source, or of a source that the
 targets don't name get no copies. The share of a source without documents goes to the others in proportion. If a source
@@ -26,7 +27,11 @@ from reviewloom.staging import stage
 
 #: Documents of one source and length that are ranked together.
 RANKED = 50_000
-MAX_ITERATIONS, TOLERANCE = 60, 1e-6
+MAX_ITERATIONS, TOLERANCE = 60, 1e-7
+#: The exponent is held below this; rates that large are above any cap.
+LARGEST = 600.0
+#: The targets are collected and their sources broadcast; a longer list than this is refused.
+MAX_SOURCES = 10_000
 #: How far the copies of one length may leave their rate to make up for the rounding of longer documents.
 MAKE_UP = 2
 
@@ -43,53 +48,37 @@ def plan_totals(targets: list[dict], available: dict[str, int], total_tokens: in
     return total, {s: total * x for s, x in shares.items()}
 
 
-def solve_rates(hist: DataFrame, wanted: dict[str, float], caps: dict[str, int], stats: dict[str, tuple[int, int]]) -> dict[str, tuple[float, float]]:
-    """(a, b) of each source by damped Newton iterations; b is per mean document length.
+def solve_rates(hist: DataFrame, wanted: dict[str, float], caps: dict[str, int], base: float) -> dict[str, float]:
+    """The multiplier of each source by safeguarded Newton iterations on the logarithm of its tokens.
 
-    hist: (source, n_tokens, docs). What reaches the driver is five sums a source and iteration.
+    hist: (source, n_tokens, docs). What reaches the driver is two sums a source and iteration.
     """
     spark = hist.sparkSession
-    scale = {s: max(stats[s][1] / stats[s][0], 1e-9) for s in wanted}
-    goal = {s: np.array([stats[s][0] * wanted[s] / stats[s][1], stats[s][0] * wanted[s] / stats[s][1]]) for s in wanted}
-    at = {s: np.array([min(0.0, np.log(caps[s] / 2)), 0.0]) for s in wanted}  # inside the caps, where the Hessian is regular
-    best: dict[str, tuple[float, np.ndarray]] = {}
-    step: dict[str, np.ndarray] = {}
+    at = dict.fromkeys(wanted, 0.0)
+    low, high = dict.fromkeys(wanted, -np.inf), dict.fromkeys(wanted, np.inf)
+    open_ = set(wanted)
     for _ in range(MAX_ITERATIONS):
-        rows = [(s, float(at[s][0]), float(at[s][1]), float(scale[s]), float(caps[s])) for s in wanted if s in at]
-        params = spark.createDataFrame(rows, "source string, a double, b double, scale double, cap double")
-        x = F.col("n_tokens") / F.col("scale")
-        e = F.exp(F.least(F.col("a") + F.col("b") * x, F.lit(40.0)))
-        r = F.least(e, F.col("cap")) * F.col("docs")
-        # Where the cap binds the rate doesn't move with the parameters. The dual sums docs * (integral of the rate).
-        free = F.when(e < F.col("cap"), e * F.col("docs")).otherwise(0.0)
-        value = F.when(e < F.col("cap"), e * F.col("docs")).otherwise(F.col("docs") * F.col("cap") * (1 + F.col("a") + F.col("b") * x - F.log("cap")))
-        sums = hist.join(F.broadcast(params), "source").groupBy("source").agg(
-            F.sum(value).alias("v"), F.sum(r).alias("g0"), F.sum(r * x).alias("g1"), F.sum(free).alias("h00"), F.sum(free * x).alias("h01"), F.sum(free * x * x).alias("h11")
-        )
-        moved = False
-        for row in sums.collect():
-            s, p = row["source"], at[row["source"]]
-            dual = row["v"] - float(goal[s] @ p)
-            if s in best and dual > best[s][0] + 1e-12 * abs(best[s][0]) and np.abs(step[s]).max() > 1e-12:
-                step[s] = step[s] / 2  # too long a step: go back half the way
-                at[s] = best[s][1] + step[s]
-                moved = True
-                continue
-            best[s] = (dual, p)
-            gradient = np.array([row["g0"], row["g1"]]) - goal[s]
-            if np.abs(gradient / goal[s]).max() <= TOLERANCE:
-                continue
-            hessian = np.array([[row["h00"], row["h01"]], [row["h01"], row["h11"]]])
-            hessian += np.eye(2) * max(1e-10 * np.trace(hessian), 1e-12)
-            step[s] = -np.linalg.solve(hessian, gradient)
-            longest = np.abs(step[s]).max()
-            if longest > 2:
-                step[s] *= 2 / longest
-            at[s] = p + step[s]
-            moved = True
-        if not moved:
+        if not open_:
             break
-    return {s: (float(best[s][1][0]), float(best[s][1][1] / scale[s])) for s in wanted}
+        params = spark.createDataFrame([(s, at[s], float(caps[s])) for s in sorted(open_)], "source string, multiplier double, cap double")
+        x = F.col("n_tokens")
+        tilted = F.lit(base) * F.exp(F.least(F.col("multiplier") * x, F.lit(LARGEST)))
+        tokens = F.sum(F.col("docs") * x * F.least(tilted, F.col("cap")))
+        # Where the cap binds the rate doesn't move with the multiplier.
+        slope = F.sum(F.when(tilted < F.col("cap"), F.col("docs") * x * x * tilted).otherwise(0.0))
+        for row in hist.join(F.broadcast(params), "source").groupBy("source").agg(tokens.alias("g"), slope.alias("h")).collect():
+            s, g, h = row["source"], row["g"], row["h"]
+            if abs(g / wanted[s] - 1) <= TOLERANCE:
+                open_.discard(s)
+                continue
+            (low if g < wanted[s] else high)[s] = at[s]
+            # Where nothing moves any more, a step of the size that changes a document of one token by its factor e.
+            step = np.log(wanted[s] / max(g, 1e-300)) * g / h if h > 0 else np.sign(wanted[s] - g)
+            to = at[s] + step
+            if not low[s] < to < high[s]:
+                to = (low[s] + high[s]) / 2 if np.isfinite(low[s]) and np.isfinite(high[s]) else at[s] + np.sign(step) * max(1.0, abs(at[s]))
+            at[s] = float(to)
+    return at
 
 
 def round_lengths(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -97,8 +86,8 @@ def round_lengths(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("n_tokens", ascending=False, ignore_index=True)
     given = np.zeros(len(pdf), np.int64)
     owed = 0.0
-    for i, (t, n, a, b, cap) in enumerate(zip(pdf.n_tokens, pdf.docs, pdf.a, pdf.b, pdf.cap)):
-        mean = n * min(np.exp(min(a + b * t, 40.0)), cap)
+    for i, (t, n, base, multiplier, cap) in enumerate(zip(pdf.n_tokens, pdf.docs, pdf.base, pdf.multiplier, pdf.cap)):
+        mean = n * min(base * np.exp(min(multiplier * t, LARGEST)), cap)
         owed += mean * t
         k = min(max(round(owed / t), np.floor(mean) - MAKE_UP, 0), np.ceil(mean) + MAKE_UP, n * cap)
         given[i] = int(k)
@@ -119,19 +108,22 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     target_rows = [
         r.asDict()
         for r in targets.select(F.lower(F.trim("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("cap"))
-        .filter("source is not null").groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap")).collect()
+        .filter("source is not null").groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap")).limit(MAX_SOURCES + 1).collect()
     ]
+    if len(target_rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     named = F.broadcast(spark.createDataFrame([(t["source"],) for t in target_rows], "source string"))
     picked = docs.select(F.col(key).alias("doc"), norm.alias("source"), F.col(text).alias("t")).join(named, "source", "left_semi")
     sized = stage(count_column(picked, "doc", "t", directory=directory, name=name).drop("t").filter("n_tokens > 0"), "sized")
-    hist = stage(sized.groupBy("source", "n_tokens").agg(F.count("*").alias("docs")), "lengths").cache()
+    hist = stage(sized.groupBy("source", "n_tokens").agg(F.count("*").alias("docs")), "lengths")
     stats = {r["source"]: (r["n"], r["tokens"]) for r in hist.groupBy("source").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens")).collect()}
     available = {s: tokens for s, (_, tokens) in stats.items()}
     asked = int(0.8 * sum(available.values())) if total_tokens is None else total_tokens
     total, wanted = plan_totals(target_rows, available, asked)
     caps = {t["source"]: t["cap"] for t in target_rows}
-    rates = solve_rates(hist, wanted, caps, stats)
-    params = spark.createDataFrame([(s, a, b, float(caps[s]), float(wanted[s])) for s, (a, b) in rates.items()], "source string, a double, b double, cap double, wanted double")
+    base = total / max(1, sum(available[s] for s in wanted))
+    multipliers = solve_rates(hist, wanted, caps, base)
+    params = spark.createDataFrame([(s, float(base), m, float(caps[s])) for s, m in multipliers.items()], "source string, base double, multiplier double, cap double")
     steps = stage(hist.join(F.broadcast(params), "source").groupBy("source").applyInPandas(round_lengths, "source string, n_tokens int, docs long, given long, cap double"), "given")
     # The copies of one source and length go to its documents in the order of their hash, ranked in parts of bounded size.
     h = F.xxhash64("doc")
@@ -148,8 +140,8 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     copies = stage(copies, "copies")
     used = copies.groupBy("source").agg(F.count("*").alias("docs_used"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
     plan = spark.createDataFrame(
-        [(t["source"], t["share"], int(t["cap"]), stats.get(t["source"], (0, 0))[0], available.get(t["source"], 0), int(asked), float(total), float(wanted.get(t["source"], 0.0))) for t in target_rows],
-        "source string, target_share double, max_repeats int, docs_available long, tokens_available long, tokens_asked long, tokens_feasible double, tokens_wanted double",
+        [(t["source"], t["share"], int(t["cap"]), stats.get(t["source"], (0, 0))[0], available.get(t["source"], 0), int(asked), float(total), float(wanted.get(t["source"], 0.0)), multipliers.get(t["source"], 0.0)) for t in target_rows],
+        "source string, target_share double, max_repeats int, docs_available long, tokens_available long, tokens_asked long, tokens_feasible double, tokens_wanted double, multiplier double",
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     report = plan.join(used, "source", "left").select(*plan.columns, zero("docs_used").alias("docs_used"), zero("most_copies").alias("most_copies"), zero("tokens").alias("tokens"))

@@ -183,6 +183,27 @@ def test_mixture_reaches_shares(spark):
     assert len(ids) == len(set(ids)) and sum(report[s]["tokens"] for s in "abc") == total
 
 
+def test_rates_are_tilted_and_solve_the_dual(spark):
+    """Against bisection on each source's own equation; where the shares aren't the natural ones the multipliers are not 0."""
+    import numpy as np
+
+    rng = random.Random(3)
+    lengths = {s: [rng.randint(1, 900) for _ in range(200)] for s in "abc"}
+    hist = spark.createDataFrame([(s, n, ns.count(n)) for s, ns in lengths.items() for n in set(ns)], "source string, n_tokens int, docs long")
+    have = {s: sum(ns) for s, ns in lengths.items()}
+    wanted, caps, base = {"a": 0.3 * have["a"], "b": 1.6 * have["b"], "c": 0.9 * 2 * have["c"]}, {"a": 1, "b": 4, "c": 2}, 0.8
+    found = mixing.solve_rates(hist, wanted, caps, base)
+    for s, ns in lengths.items():
+        t = np.array(ns, float)
+        lo, hi = -1.0, 1.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (t * np.minimum(base * np.exp(np.minimum(mid * t, 600)), caps[s])).sum() < wanted[s] else (lo, mid)
+        assert found[s] == pytest.approx(lo, rel=1e-3) and abs(found[s]) > 1e-4
+    assert found["a"] < 0 < found["b"]
+    assert mixing.solve_rates(hist, {"a": base * have["a"]}, caps, base)["a"] == 0.0
+
+
 def test_mixture_that_cannot_be_had(spark):
     rows = [(1, "a", "one two three"), (2, "b", "word " * 500)]
     copies, report = mix(spark, rows, [("a", 0.5, 2), ("b", 0.5, 1)], 1_000)
