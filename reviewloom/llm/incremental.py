@@ -1,40 +1,59 @@
 """Deduplication of new batches against all history, by an incremental inverted index of rare-token prefixes.
 
-The index lies in a folder of the shared storage:
+The index lies in a folder of the shared storage, as segments of three tables and a numbered manifest that names them:
 
 - ``order``: the frequency of tokens in the first history, folded into a fixed number of slots. It fixes the order of
   tokens, rare ones first, for the life of the index; any fixed order gives right results, a fresh one shorter lists.
-- ``texts``: a row for each distinct bag accepted (its id, key and text).
+- ``texts``: a row for each distinct bag accepted (its id, key and text), in buckets of ids.
 - ``postings``: a row for each token of a bag's prefix, with the bag's size, the token's position and a parity sketch of
-  the bag; files are partitioned by token.
-- ``ids``: the review ids accepted.
+  the bag, in buckets of tokens.
+- ``ids``: the review ids accepted, in buckets of their hash.
+
+A segment has as many buckets as it holds ``bucket_rows`` rows (powers of two), so a bucket stays of one size however long
+the history grows. A batch reads only the buckets that its tokens, ids and candidates fall into: what a batch of given size
+reads is bounded by its own keys, not by the history. A batch adds one segment a table; four segments of like size are
+merged into one, so there are about three for each fourfold growth and a row is rewritten as often. A new manifest is
+renamed into place last: whatever a broken run left behind is named by none and never read. There is one writer at a time.
 
 Two bags at similarity t share a token of their prefixes of n - ceil(t * n) + 1 tokens. A batch's prefixes are joined with
-the postings on the token; sizes, positions and sketches drop what can't be near, without loss, inside that join; the rest
-is verified exactly. Accepted rows are appended, the history is never processed again.
+the postings on the token; sizes, positions and sketches drop what can't be near, without loss, inside that join; texts of
+what remains are fetched by id and verified exactly.
 
 Rows are taken in order (batch, key). A row is a duplicate if a row accepted before has its review id or a near text.
-Which of the new rows are accepted depends on those before them; that is resolved in rounds, in each of which all rows
+Which rows of a batch are accepted depends on those before them; that is resolved in rounds, in each of which all rows
 are settled that have no unsettled row before them with the same id or a near text. Null, empty and blank ids match nothing; null,
 empty and short texts are near to nothing. Null batch numbers come before all others. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm.words import MIN_WORDS, THRESHOLD, bags, elements, mix, verified
-from reviewloom.staging import fresh_path, stage
+from reviewloom.llm.words import MIN_WORDS, THRESHOLD, compared, elements, mix, with_bags
+from reviewloom.staging import filesystem, fresh_path, stage, unstage
 
 #: Slots of the token order: 2 ** SLOT_BITS counters, 1 MB whatever the history's size. That array is what is broadcast.
 SLOT_BITS = 18
 SKETCH_WORDS = 4
+#: Rows of a bucket, and the most buckets of a segment (beyond that buckets grow).
+BUCKET_ROWS, MAX_BUCKETS = 250_000, 1 << 15
+#: As many segments of like size (within a factor of four) are merged into one.
+MERGED = 4
+#: A batch's keys are broadcast to the history's buckets up to so many rows; beyond that both sides are shuffled.
+BROADCAST_ROWS = 200_000
+#: Batches that one call takes one after the other; more are refused.
+MAX_BATCHES = 100_000
 POSTING = "token long, id long, n int, pos int, s0 long, s1 long, s2 long, s3 long"
+#: The columns of each table, and what its buckets are of.
+TABLES = {"postings": (POSTING, "token"), "texts": ("id long, bag binary, text string", "id"), "ids": ("review_id string", "xxhash64(review_id)")}
 
 
 def _slots(e: np.ndarray) -> np.ndarray:
@@ -52,26 +71,122 @@ def sketch(e: np.ndarray) -> np.ndarray:
     return np.packbits(parity).view(np.int64)
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """``df``, broadcast if it is known to have at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 class IncrementalIndex:
-    def __init__(self, spark: SparkSession, path: str | None = None, threshold: float = THRESHOLD, least: int = MIN_WORDS) -> None:
-        """An index at ``path``, which may exist already; by default a new one in the shared folder."""
+    def __init__(self, spark: SparkSession, path: str | None = None, threshold: float = THRESHOLD, least: int = MIN_WORDS, bucket_rows: int = BUCKET_ROWS) -> None:
+        """An index at ``path``, which may exist already; by default a new one in the shared folder, gone when the driver ends."""
         self.spark, self.path = spark, path or fresh_path(spark, "dedup-index")
-        self.threshold, self.least = threshold, least
+        self.threshold, self.least, self.bucket_rows = threshold, least, bucket_rows
         self._order: np.ndarray | None = None
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def _append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
-
-    # Building and growing
+        self._version, self._manifest = self._latest()
+
+    # Segments and manifests
+
+    def _latest(self) -> tuple[int, dict]:
+        fs, folder = filesystem(self.spark, f"{self.path}/manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        version = max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+        if not version:
+            return 0, {"order": None, **{t: [] for t in TABLES}}
+        _, p = filesystem(self.spark, f"{self.path}/manifests/{version:010d}.json")
+        stream = fs.open(p)
+        try:
+            return version, json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, manifest: dict) -> None:
+        """Puts a manifest in place of the last one and deletes the segments that it no longer names."""
+        fs, temporary = filesystem(self.spark, f"{self.path}/manifests/.{uuid.uuid4().hex}")
+        out = fs.create(temporary, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        _, final = filesystem(self.spark, f"{self.path}/manifests/{self._version + 1:010d}.json")
+        if fs.exists(final) or not fs.rename(temporary, final):
+            raise RuntimeError(f"another writer has changed the index at {self.path}")
+        kept = {s["path"] for t in TABLES for s in manifest[t]}
+        for old in {s["path"] for t in TABLES for s in self._manifest[t]} - kept:
+            fs.delete(filesystem(self.spark, old)[1], True)
+        self._version, self._manifest = self._version + 1, manifest
+
+    def _segment(self, df: DataFrame, table: str, expected: int) -> dict | None:
+        """Writes rows of a table as a segment for about ``expected`` rows; None if there are none."""
+        buckets = min(MAX_BUCKETS, 1 << max(0, int(np.ceil(np.log2(max(1, expected) / self.bucket_rows)))))
+        path, counted = f"{self.path}/segments/{table}-{uuid.uuid4().hex}", Observation()
+        schema, key = TABLES[table]
+        rows = df.select(*(c.split()[0] for c in schema.split(", "))).observe(counted, F.count(F.lit(1)).alias("n"))
+        if buckets > 1:
+            # Rebalanced by bucket: a bucket that outgrows a task, as of a hot token, is divided among several.
+            rows = rows.withColumn("bucket", F.expr(f"cast(pmod({key}, {buckets}) as int)")).hint("rebalance", F.col("bucket"))
+            rows.sortWithinPartitions("bucket", schema.split()[0]).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+        else:
+            rows.write.option("compression", "zstd").parquet(path)
+        return {"path": path, "rows": counted.get["n"], "buckets": buckets} if counted.get["n"] else None
+
+    def _add(self, new: dict[str, tuple[DataFrame, int]], order: str | None = None) -> None:
+        """Appends rows to the tables, merges segments of like size, and commits both at once."""
+        manifest = {"order": order or self._manifest["order"]}
+        for table in TABLES:
+            segments = list(self._manifest[table])
+            added = self._segment(*new[table][:1], table, new[table][1]) if table in new else None
+            segments += [added] if added else []
+            while True:
+                level = lambda s: int(np.log2(s["rows"]) // 2)
+                alike = next((like for like in ([s for s in segments if level(s) == k] for k in sorted({level(s) for s in segments})) if len(like) >= MERGED), None)
+                if alike is None:
+                    break
+                merged = self._segment(self._rows(table, alike), table, sum(s["rows"] for s in alike))
+                for s in alike:
+                    segments.remove(s)
+                segments.append(merged)
+            manifest[table] = segments
+        self._commit(manifest)
+
+    def _rows(self, table: str, segments: list[dict] | None = None, buckets: set[int] | None = None, columns: str = "*") -> DataFrame:
+        """The rows of a table, of the given buckets (of the finest division there is) or all."""
+        schema, _ = TABLES[table]
+        parts = []
+        for s in self._manifest[table] if segments is None else segments:
+            if s["buckets"] == 1:
+                parts.append(self.spark.read.schema(schema).parquet(s["path"]).select(columns))
+                continue
+            found = self.spark.read.schema(f"{schema}, bucket int").parquet(s["path"])
+            own = None if buckets is None else {b % s["buckets"] for b in buckets}
+            if own is not None and len(own) < s["buckets"]:
+                found = found.filter(F.col("bucket").isin(sorted(own)))
+            parts.append(found.drop("bucket").select(columns))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema).select(columns)
+
+    def _buckets(self, table: str, keys: DataFrame) -> set[int] | None:
+        """The buckets into which keys of a table fall: at most MAX_BUCKETS numbers. None: all."""
+        finest = max((s["buckets"] for s in self._manifest[table]), default=1)
+        if finest == 1:
+            return None
+        return {r[0] for r in keys.select(F.expr(f"pmod({TABLES[table][1]}, {finest})")).distinct().collect()}
+
+    def probed(self, table: str, keys: DataFrame, columns: str = "*") -> DataFrame:
+        """The rows of a table in the buckets of the given keys (with the column that its buckets are of)."""
+        return self._rows(table, None, self._buckets(table, keys), columns)
+
+    # Building
 
     def build(self, history: DataFrame, key: str = "seq", review_id: str = "review_id", text: str = "cleaned_text") -> IncrementalIndex:
         """Makes the index of a first history, all of which counts as accepted."""
-        rows = stage(bags(history, key, text, self.least), "history-bags")
-        self._append(self._token_counts(rows), "order")
-        self._add(rows.groupBy("bag").agg(F.min_by("text", "seq").alias("text")), history.select(F.col(review_id).alias("review_id")))
+        rows = with_bags(history.select(F.col(key).cast("long").alias("seq"), F.col(text).alias("text")), self.least).filter("bag is not null")
+        counted = Observation()
+        texts = stage(rows.groupBy("bag").agg(F.min_by("text", "seq").alias("text")).select(F.xxhash64("bag").alias("id"), "bag", "text").observe(counted, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")), "history-texts")
+        order = f"{self.path}/segments/order-{uuid.uuid4().hex}"
+        self._token_counts(texts).write.parquet(order)
+        self._manifest["order"] = order
+        n, chars = counted.get["n"], counted.get["chars"]
+        ids = history.select(F.col(review_id).alias("review_id")).filter(F.trim("review_id") != "").distinct()
+        # About a fifth of a text's words, of some six signs, are in its prefix.
+        self._add({"texts": (texts, n), "postings": (self._postings(texts), n + chars // 30), "ids": (ids, n)}, order)
+        unstage(texts)
         return self
 
     def _token_counts(self, rows: DataFrame) -> DataFrame:
@@ -85,23 +200,16 @@ class IncrementalIndex:
             slots = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
 
-        return rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).coalesce(1)
+        return rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
 
     def order(self) -> np.ndarray:
         """The counter of each slot: at most 2 ** SLOT_BITS rows come to the driver."""
         if self._order is None:
-            rows = self._read("order", "slot long, n long").toArrow()
+            rows = self.spark.read.schema("slot long, n long").parquet(self._manifest["order"]).toArrow()
             self._order = np.zeros(1 << SLOT_BITS, np.uint32)
             self._order[rows.column(0).to_numpy()] = np.minimum(rows.column(1).to_numpy(), 0xFFFFFFFF)
         return self._order
 
-    def _add(self, texts: DataFrame, ids: DataFrame) -> None:
-        """Appends accepted bags (bag, text) and review ids."""
-        new = stage(texts.select(F.xxhash64("bag").alias("id"), "bag", "text"), "accepted-texts")
-        self._append(new, "texts")
-        self._append(self._postings(new).repartition("token").sortWithinPartitions("token"), "postings")
-        self._append(ids.filter(F.trim("review_id") != "").distinct(), "ids")
-
     def _postings(self, texts: DataFrame) -> DataFrame:
         """POSTING rows of (id, text)."""
         order, threshold = self.spark.sparkContext.broadcast(self.order()), self.threshold
@@ -141,37 +249,79 @@ class IncrementalIndex:
             & (rest >= least) & (apart <= n - 2 * least)
         )
 
-    def _near(self, probes: DataFrame, postings: DataFrame, texts: DataFrame) -> DataFrame:
-        """(a, b): ids of near bags, a among the probes and b another among the postings; texts: (rep, text) of all."""
-        both = probes.alias("l").join(postings.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.id") != F.col("r.id")) & self._may_be_near())
-        return verified(both.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), texts, self.threshold)
+    def _hits(self, table: str, keys: DataFrame, n: int, on: str) -> DataFrame:
+        """The keys of a batch that the history has: its buckets are read past the batch's keys, never shuffled for a small batch."""
+        known = self.probed(table, keys if on == "review_id" else keys.select("id"), on)
+        return known.join(_small(keys.select(on), n), on, "left_semi").distinct()
+
+    def _prepared(self, batch: DataFrame, key: str, batch_no: str, review_id: str, text: str) -> DataFrame:
+        rows = batch.select(F.col(key).cast("long").alias("seq"), F.col(batch_no).cast("long").alias("batch_no"), F.when(F.trim(review_id) != "", F.col(review_id)).alias("review_id"), F.col(text).alias("text"))
+        o = F.struct(F.coalesce("batch_no", F.lit(-(2**62))).alias("batch"), F.col("seq"))
+        return with_bags(rows, self.least).withColumn("id", F.when(F.col("bag").isNotNull(), F.xxhash64("bag"))).withColumn("o", o)
 
     def admit(self, batch: DataFrame, key: str = "seq", batch_no: str = "batch_no", review_id: str = "review_id", text: str = "cleaned_text", append: bool = True) -> DataFrame:
-        """(seq, batch_no, duplicate) of every row of one or more batches; accepted rows enter the index."""
-        rows = stage(
-            batch.select(F.col(key).alias("seq"), F.col(batch_no).cast("long").alias("batch_no"), F.when(F.trim(review_id) != "", F.col(review_id)).alias("review_id"), F.col(text).alias("text"))
-            .transform(lambda df: df.join(bags(df, "seq", "text", self.least).select("seq", "bag"), "seq", "left"))
-            .withColumn("o", F.struct(F.coalesce("batch_no", F.lit(-(2**62))).alias("batch"), F.col("seq"))),
-            "batch",
-        )
-        texts = self._read("texts", "id long, bag binary, text string")
-        known_ids = self._read("ids", "review_id string")
-        known = rows.join(texts.select("bag").withColumn("by_bag", F.lit(True)), "bag", "left").join(known_ids.withColumn("by_id", F.lit(True)), "review_id", "left")
-        open_rows = stage(known.filter("by_bag is null and by_id is null").select("o", "review_id", "bag", "text"), "open")
-        # Texts of the batch that aren't in the history, one for each bag, against the history and against each other.
+        """(seq, batch_no, duplicate) of every row of a batch; accepted rows enter the index.
+
+        Rows of several batches at once are judged in their order, with the same result as one batch after the other.
+        """
+        counted = Observation()
+        rows = stage(self._prepared(batch, key, batch_no, review_id, text).observe(counted, F.count(F.lit(1)).alias("n")), "batch")
+        return self._flagged(rows, self._admit(rows, counted.get["n"], append))
+
+    def admit_batches(self, batches: DataFrame, key: str = "seq", batch_no: str = "batch_no", review_id: str = "review_id", text: str = "cleaned_text") -> DataFrame:
+        """(seq, batch_no, duplicate) of all rows: each batch probes the index and enters it before the next one is looked at."""
+        prepared = self._prepared(batches, key, batch_no, review_id, text).withColumn("part", F.col("batch_no"))
+        rows = stage(prepared.hint("rebalance", F.col("part")), "batches", ["part"])
+        sizes = rows.groupBy("part").agg(F.count("*").alias("n")).orderBy(F.asc_nulls_first("part")).limit(MAX_BATCHES + 1).collect()
+        if len(sizes) > MAX_BATCHES:
+            raise ValueError(f"more than {MAX_BATCHES} batches at once")
+        accepted = [self._admit(rows.filter(F.col("part").eqNullSafe(F.lit(r["part"]))), r["n"], True) for r in sizes]
+        return self._flagged(rows, reduce(DataFrame.unionByName, accepted) if accepted else rows.select("o").limit(0))
+
+    def _flagged(self, rows: DataFrame, accepted: DataFrame) -> DataFrame:
+        return rows.select("o", "seq", "batch_no").join(accepted.withColumn("kept", F.lit(True)), "o", "left").select("seq", "batch_no", F.col("kept").isNull().alias("duplicate"))
+
+    def _admit(self, rows: DataFrame, n: int, append: bool) -> DataFrame:
+        """(o) of the accepted rows among ``n`` prepared ones."""
+        by_id = self._hits("ids", rows.select("review_id").filter("review_id is not null"), n, "review_id")
+        by_bag = self._hits("texts", rows.select("id", "bag").filter("bag is not null"), n, "bag")
+        open_rows = stage(rows.join(_small(by_id, n), "review_id", "left_anti").join(_small(by_bag, n), "bag", "left_anti").select("o", "review_id", "id", "bag", "text"), "open")
+        # Texts that aren't in the history, one for each bag, against the history and against each other.
         fresh = stage(open_rows.filter("bag is not null").groupBy("bag").agg(F.min_by("text", "o").alias("text")).select(F.xxhash64("bag").alias("id"), "bag", "text"), "fresh")
-        postings = stage(self._postings(fresh), "fresh-postings")
-        everything = texts.select(F.col("id").alias("rep"), "text").unionByName(fresh.select(F.col("id").alias("rep"), "text"))
-        edges = stage(self._near(postings, self._read("postings", POSTING).unionByName(postings), everything), "edges")
-        old = edges.join(texts.select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct()
-        known_bags = fresh.join(old, fresh.id == old.a, "left_semi").select("bag")
-        left = stage(open_rows.join(known_bags, "bag", "left_anti").select("o", "review_id", F.xxhash64("bag").alias("id"), "bag", "text").withColumn("id", F.when(F.col("bag").isNotNull(), F.col("id"))), "left")
-        accepted = stage(self._resolve(left.select("o", "review_id", "id"), edges), "accepted")
+        counted = Observation()
+        postings = stage(self._postings(fresh).observe(counted, F.count(F.lit(1)).alias("n")), "fresh-postings")
+        m = counted.get["n"]
+        history = self.probed("postings", postings.select("token"))
+        met = (F.col("l.token") == F.col("r.token")) & self._may_be_near()
+        old = history.alias("r").join(_small(postings, m).alias("l"), met).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.lit(True).alias("old"))
+        new = postings.alias("l").join(postings.alias("r"), met & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.lit(False).alias("old"))
+        paired = Observation()
+        pairs = stage(old.unionByName(new).distinct().observe(paired, F.count(F.lit(1)).alias("n")), "candidates")
+        if paired.get["n"]:
+            wanted = pairs.filter("old").select(F.col("b").alias("id"))
+            fetched = self.probed("texts", wanted).join(_small(wanted.distinct(), paired.get["n"]), "id", "left_semi")
+            edges = stage(self._near(pairs.filter("old"), fresh, fetched).unionByName(self._near(pairs.filter("not old"), fresh, fresh)), "edges")
+        else:
+            edges = pairs
+        known = edges.filter("old").select(F.col("a").alias("id")).distinct()
+        left = stage(open_rows.join(_small(known, m), "id", "left_anti").select("o", "review_id", "id"), "left")
+        among = edges.filter("not old").select("a", "b")
+        accepted = stage(self._resolve(left, among.unionByName(among.select(F.col("b").alias("a"), F.col("a").alias("b")))), "accepted")
         if append:
             taken = left.join(accepted, "o", "left_semi")
-            self._add(taken.filter("bag is not null").groupBy("bag").agg(F.min_by("text", "o").alias("text")), taken.select("review_id"))
-        flag = accepted.withColumn("kept", F.lit(True))
-        return rows.select("o", "seq", "batch_no").join(flag, "o", "left").select("seq", "batch_no", F.col("kept").isNull().alias("duplicate"))
+            texts = taken.select("id").filter("id is not null").distinct()
+            self._add({
+                "texts": (fresh.join(texts, "id", "left_semi"), n), "postings": (postings.join(texts, "id", "left_semi"), m),
+                "ids": (taken.select("review_id").filter("review_id is not null").distinct(), n),
+            })
+        unstage(open_rows, fresh, postings, pairs, edges, left)
+        return accepted
+
+    def _near(self, pairs: DataFrame, fresh: DataFrame, others: DataFrame) -> DataFrame:
+        """The candidates (a, b, old) whose texts are near, a among the fresh ones and b among the others."""
+        t = fresh.select("id", "text")
+        both = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("_ta")), "a").join(others.select(F.col("id").alias("b"), F.col("text").alias("_tb")), "b")
+        return compared(both.select("a", "b", "old", "_ta", "_tb"), self.threshold)
 
     def _resolve(self, rows: DataFrame, edges: DataFrame) -> DataFrame:
         """The ``o`` of accepted rows among (o, review_id, id), none of which has a duplicate in the history.
@@ -185,14 +335,16 @@ class IncrementalIndex:
         shared = published.groupBy("key").agg(F.count("*").alias("n"))
         # Only rows that hear of another row take part in the rounds.
         tied = stage(heard.groupBy("key", "o").agg(F.lit(1).alias("one")).join(shared, "key").join(published.withColumn("own", F.lit(1)), ["key", "o"], "left").filter("n > 1 or own is null").select("o", "key"), "heard")
-        published = stage(published.join(tied.select("key").distinct(), "key", "left_semi"), "published")
+        said_by = stage(published.join(tied.select("key").distinct(), "key", "left_semi"), "published")
         state = stage(tied.select("o").distinct().withColumn("settled", F.lit(None).cast("boolean")), "round")
         while state.filter("settled is null").limit(1).count():
-            said = published.join(state, "o", "left").groupBy("key").agg(
+            said = said_by.join(state, "o", "left").groupBy("key").agg(
                 F.min(F.when(F.col("settled"), F.col("o"))).alias("kept"), F.min(F.when(F.col("settled").isNull(), F.col("o"))).alias("unsettled")
             )
             now = tied.join(state.filter("settled is null"), "o").join(said, "key", "left").groupBy("o").agg(F.min("kept").alias("kept"), F.min("unsettled").alias("unsettled"))
             verdict = now.select("o", F.when(F.col("kept") < F.col("o"), False).when(F.coalesce(F.col("unsettled") >= F.col("o"), F.lit(True)), True).alias("settled"))
-            state = stage(state.filter("settled is not null").unionByName(verdict), "round")
+            before, state = state, stage(state.filter("settled is not null").unionByName(verdict), "round")
+            unstage(before)
+        unstage(said_by, tied)
         free = rows.select("o").join(state.select("o"), "o", "left_anti")
         return free.unionByName(state.filter("settled").select("o"))

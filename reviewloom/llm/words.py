@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +62,29 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def near(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether the similarity reaches the threshold, in whole numbers: 0.8 is taken as four fifths."""
+    t = Fraction(threshold).limit_denominator(10_000)
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return common >= threshold * (len(a) + len(b) - common) - 1e-9
+    return common * t.denominator >= t.numerator * (len(a) + len(b) - common)
+
+
+def with_bags(df: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """``df`` (with ``text``) and the key of each text's bag, 16 bytes; null bag and text for fewer than ``least`` words."""
+    names = [c for c in df.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            texts = batch.column(len(names)).to_pylist()
+            for i, t in enumerate(texts):
+                e = elements(t, least)
+                keys.append(None if e is None else xxhash.xxh3_128_digest(e.tobytes()))
+                if e is None:
+                    texts[i] = None
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array(keys, pa.binary())], names=[*names, "text", "bag"])
+
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
+    return spread(df.select(*names, "text")).mapInArrow(run, f"{schema}, text string, bag binary")
 
 
 def bags(df: DataFrame, key: str, text: str, least: int = MIN_WORDS) -> DataFrame:
@@ -88,12 +110,13 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bag").agg(F.min("seq").alias("rep"), F.min_by("text", "seq").alias("text"), F.count("*").alias("copies"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of class ids whose texts are near, by exact comparison; classes: (rep, text)."""
+def compared(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The rows whose last two columns, _ta and _tb, are near texts, by exact comparison, without these columns."""
+    names = pairs.columns[:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (2, 3))
+            a, b = (batch.column(len(names) + i).to_pylist() for i in (0, 1))
             memo: dict[str, np.ndarray] = {}
 
             def of(t: str) -> np.ndarray:
@@ -102,8 +125,13 @@ def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
                 return memo[t]
 
             keep = [near(of(x), of(y), threshold) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, pairs.select(*names).schema)
 
+
+def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of class ids whose texts are near; classes: (rep, text)."""
     t = classes.select("rep", "text")
-    both = pairs.join(t.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    both = pairs.join(t.select(F.col("rep").alias("a"), F.col("text").alias("_ta")), "a").join(t.select(F.col("rep").alias("b"), F.col("text").alias("_tb")), "b")
+    return compared(both.select("a", "b", "_ta", "_tb"), threshold)

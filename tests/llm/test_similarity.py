@@ -137,6 +137,45 @@ def test_batches_at_once_and_one_by_one(spark, batches):
         index = incremental.IncrementalIndex(spark, index.path)  # what is on disk is all there is
         found |= {r["seq"] for r in index.admit(new_frame(spark, [r for r in new if r[1] == no])).filter("duplicate").collect()}
     assert found == wanted
+    in_turn = incremental.IncrementalIndex(spark, bucket_rows=60).build(h).admit_batches(new_frame(spark, new))
+    assert {r["seq"] for r in in_turn.filter("duplicate").collect()} == wanted and in_turn.count() == len(new)
+
+
+def probed_bytes(index, batch):
+    """Bytes of the files that a batch's tokens, ids and candidates lie in."""
+    rows = index._prepared(batch, "seq", "batch_no", "review_id", "cleaned_text").filter("bag is not null").select("id", "bag", "text")
+    total = 0
+    for table, keys in (("postings", index._postings(rows).select("token")), ("texts", rows.select("id")), ("ids", batch.select("review_id"))):
+        files = index.probed(table, keys).select("_metadata.file_path", "_metadata.file_size").distinct().collect()
+        total += sum(f["file_size"] for f in files)
+    return total
+
+
+def test_a_batch_reads_as_much_of_a_longer_history(spark):
+    rng = random.Random(2)
+    words_ = [f"v{i}" for i in range(6000)]
+    rows = [(i, f"r{i}", " ".join(rng.choice(words_) for _ in range(30))) for i in range(3000)]
+    new = new_frame(spark, [(9000 + i, 1, f"r{i}", rows[i][2] + " more") for i in range(2)])
+    read = []
+    for n in (300, 3000):
+        h = spark.createDataFrame(rows[:n], "seq long, review_id string, cleaned_text string")
+        index = incremental.IncrementalIndex(spark, bucket_rows=50).build(h)
+        read.append(probed_bytes(index, new))
+        assert index.admit(new).filter("duplicate").count() == 2
+    assert 0.8 <= read[1] / read[0] <= 1.2
+
+
+def test_a_broken_run_leaves_the_index_as_it_was(spark, batches):
+    history, new = batches
+    h = spark.createDataFrame(history, "seq long, review_id string, cleaned_text string")
+    index = incremental.IncrementalIndex(spark).build(h)
+    other = incremental.IncrementalIndex(spark, index.path)
+    index._segment(h.select("review_id"), "ids", 10)  # written, but no manifest names it
+    again = incremental.IncrementalIndex(spark, index.path)
+    assert again._manifest == other._manifest and again._rows("ids").count() == other._rows("ids").count()
+    index.admit(new_frame(spark, new[:5]))
+    with pytest.raises(RuntimeError):
+        other.admit(new_frame(spark, new[5:9]))
 
 
 def test_index_of_nothing(spark, batches):
