@@ -11,8 +11,8 @@ The index lies in a folder of the shared storage, as segments of three tables an
 
 A segment has as many buckets as it holds ``bucket_rows`` rows (powers of two), so a bucket stays of one size however long
 the history grows. A batch reads only the buckets that its tokens, ids and candidates fall into: what a batch of given size
-reads is bounded by its own keys, not by the history. A batch adds one segment a table; four segments of like size are
-merged into one, so there are about three for each fourfold growth and a row is rewritten as often. A new manifest is
+reads is bounded by its own keys, not by the history. A batch adds one segment a table; eight segments of like size (within a
+factor of eight) are merged into one, so there are seven at most for each eightfold growth and a row is rewritten as often. A new manifest is
 renamed into place last: whatever a broken run left behind is named by none and never read. There is one writer at a time.
 
 Two bags at similarity t share a token of their prefixes of n - ceil(t * n) + 1 tokens. A batch's prefixes are joined with
@@ -45,8 +45,8 @@ SLOT_BITS = 18
 SKETCH_WORDS = 4
 #: Rows of a bucket, and the most buckets of a segment (beyond that buckets grow).
 BUCKET_ROWS, MAX_BUCKETS = 250_000, 1 << 15
-#: As many segments of like size (within a factor of four) are merged into one.
-MERGED = 4
+#: As many segments of like size (within a factor of eight) are merged into one.
+MERGED = 8
 #: A batch's keys are broadcast to the history's buckets up to so many rows; beyond that both sides are shuffled.
 BROADCAST_ROWS = 200_000
 #: Batches that one call takes one after the other; more are refused.
@@ -135,7 +135,7 @@ class IncrementalIndex:
             added = self._segment(*new[table][:1], table, new[table][1]) if table in new else None
             segments += [added] if added else []
             while True:
-                level = lambda s: int(np.log2(s["rows"]) // 2)
+                level = lambda s: int(np.log2(s["rows"]) // 3)
                 alike = next((like for like in ([s for s in segments if level(s) == k] for k in sorted({level(s) for s in segments})) if len(like) >= MERGED), None)
                 if alike is None:
                     break
@@ -210,8 +210,8 @@ class IncrementalIndex:
             self._order[rows.column(0).to_numpy()] = np.minimum(rows.column(1).to_numpy(), 0xFFFFFFFF)
         return self._order
 
-    def _postings(self, texts: DataFrame) -> DataFrame:
-        """POSTING rows of (id, text)."""
+    def _postings(self, texts: DataFrame, with_text: bool = False) -> DataFrame:
+        """POSTING rows of (id, bag, text); with bag and text in the row of a bag's first token if asked for."""
         order, threshold = self.spark.sparkContext.broadcast(self.order()), self.threshold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,10 +231,15 @@ class IncrementalIndex:
                         sketches.append(np.broadcast_to(sketch(e), (k, SKETCH_WORDS)))
                     if tokens:
                         s = np.concatenate(sketches)
+                        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
                         columns = [np.concatenate(tokens).view(np.int64), np.concatenate(ids), np.concatenate(sizes), np.concatenate(positions), *(np.ascontiguousarray(s[:, j]) for j in range(SKETCH_WORDS))]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "n", "pos", "s0", "s1", "s2", "s3"])
+                        arrays = [pa.array(c) for c in columns]
+                        if with_text:
+                            at = pa.array(np.where(columns[3] == 0, np.repeat(np.arange(len(tokens)), size), -1), mask=columns[3] != 0)
+                            arrays += [part.column(2).take(at), part.column(1).take(at)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["token", "id", "n", "pos", "s0", "s1", "s2", "s3", *(["bag", "text"] if with_text else [])])
 
-        return texts.select("id", "text").mapInArrow(run, POSTING)
+        return texts.select("id", "text", "bag").mapInArrow(run, POSTING + (", bag binary, text string" if with_text else ""))
 
     # Probing
 
@@ -268,14 +273,22 @@ class IncrementalIndex:
         rows = stage(self._prepared(batch, key, batch_no, review_id, text).observe(counted, F.count(F.lit(1)).alias("n")), "batch")
         return self._flagged(rows, self._admit(rows, counted.get["n"], append))
 
-    def admit_batches(self, batches: DataFrame, key: str = "seq", batch_no: str = "batch_no", review_id: str = "review_id", text: str = "cleaned_text") -> DataFrame:
-        """(seq, batch_no, duplicate) of all rows: each batch probes the index and enters it before the next one is looked at."""
+    def admit_batches(self, batches: DataFrame, key: str = "seq", batch_no: str = "batch_no", review_id: str = "review_id", text: str = "cleaned_text", at_once: int = 4) -> DataFrame:
+        """(seq, batch_no, duplicate) of all rows, ``at_once`` batches a step: what a step accepts enters the index before the next step probes it.
+
+        The result doesn't depend on ``at_once``, as the rows of a step are judged in their order; it is the number of commits
+        that is paid for, each with some forty small jobs.
+        """
         prepared = self._prepared(batches, key, batch_no, review_id, text).withColumn("part", F.col("batch_no"))
         rows = stage(prepared.hint("rebalance", F.col("part")), "batches", ["part"])
         sizes = rows.groupBy("part").agg(F.count("*").alias("n")).orderBy(F.asc_nulls_first("part")).limit(MAX_BATCHES + 1).collect()
         if len(sizes) > MAX_BATCHES:
             raise ValueError(f"more than {MAX_BATCHES} batches at once")
-        accepted = [self._admit(rows.filter(F.col("part").eqNullSafe(F.lit(r["part"]))), r["n"], True) for r in sizes]
+        accepted = []
+        for at in range(0, len(sizes), at_once):
+            step = sizes[at : at + at_once]
+            inside = reduce(Column.__or__, (F.col("part").eqNullSafe(F.lit(r["part"])) for r in step))
+            accepted.append(self._admit(rows.filter(inside), sum(r["n"] for r in step), True))
         return self._flagged(rows, reduce(DataFrame.unionByName, accepted) if accepted else rows.select("o").limit(0))
 
     def _flagged(self, rows: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -284,43 +297,42 @@ class IncrementalIndex:
     def _admit(self, rows: DataFrame, n: int, append: bool) -> DataFrame:
         """(o) of the accepted rows among ``n`` prepared ones."""
         by_id = self._hits("ids", rows.select("review_id").filter("review_id is not null"), n, "review_id")
-        by_bag = self._hits("texts", rows.select("id", "bag").filter("bag is not null"), n, "bag")
-        open_rows = stage(rows.join(_small(by_id, n), "review_id", "left_anti").join(_small(by_bag, n), "bag", "left_anti").select("o", "review_id", "id", "bag", "text"), "open")
-        # Texts that aren't in the history, one for each bag, against the history and against each other.
-        fresh = stage(open_rows.filter("bag is not null").groupBy("bag").agg(F.min_by("text", "o").alias("text")).select(F.xxhash64("bag").alias("id"), "bag", "text"), "fresh")
+        open_rows = stage(rows.join(by_id, "review_id", "left_anti").select("o", "review_id", "id", "bag", "text"), "open")
+        # The texts of the batch, one for each bag, against the history and against each other.
+        distinct = open_rows.filter("bag is not null").groupBy("bag").agg(F.min_by("text", "o").alias("text")).select(F.xxhash64("bag").alias("id"), "bag", "text")
         counted = Observation()
-        postings = stage(self._postings(fresh).observe(counted, F.count(F.lit(1)).alias("n")), "fresh-postings")
+        postings = stage(self._postings(distinct, True).observe(counted, F.count(F.lit(1)).alias("n")), "postings")
         m = counted.get["n"]
-        history = self.probed("postings", postings.select("token"))
+        fresh = postings.filter("pos = 0").select("id", "bag", "text")
+        keys = postings.drop("bag", "text")
+        history = self.probed("postings", keys.select("token"))
         met = (F.col("l.token") == F.col("r.token")) & self._may_be_near()
-        old = history.alias("r").join(_small(postings, m).alias("l"), met).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.lit(True).alias("old"))
-        new = postings.alias("l").join(postings.alias("r"), met & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.lit(False).alias("old"))
+        old = history.alias("r").join(_small(keys, m).alias("l"), met).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.lit(True).alias("old"))
+        new = keys.alias("l").join(keys.alias("r"), met & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.lit(False).alias("old"))
         paired = Observation()
-        pairs = stage(old.unionByName(new).distinct().observe(paired, F.count(F.lit(1)).alias("n")), "candidates")
+        pairs = edges = stage(old.unionByName(new).distinct().observe(paired, F.count(F.lit(1)).alias("n")), "candidates")
         if paired.get["n"]:
-            wanted = pairs.filter("old").select(F.col("b").alias("id"))
-            fetched = self.probed("texts", wanted).join(_small(wanted.distinct(), paired.get["n"]), "id", "left_semi")
-            edges = stage(self._near(pairs.filter("old"), fresh, fetched).unionByName(self._near(pairs.filter("not old"), fresh, fresh)), "edges")
-        else:
-            edges = pairs
+            wanted = pairs.filter("old").select(F.col("b").alias("id")).distinct()
+            fetched = self.probed("texts", wanted, ["id", "text"]).join(_small(wanted, paired.get["n"]), "id", "left_semi")
+            others = fetched.withColumn("old", F.lit(True)).unionByName(fresh.select("id", "text").withColumn("old", F.lit(False)))
+            edges = stage(self._near(pairs, fresh, others), "edges")
         known = edges.filter("old").select(F.col("a").alias("id")).distinct()
-        left = stage(open_rows.join(_small(known, m), "id", "left_anti").select("o", "review_id", "id"), "left")
-        among = edges.filter("not old").select("a", "b")
-        accepted = stage(self._resolve(left, among.unionByName(among.select(F.col("b").alias("a"), F.col("a").alias("b")))), "accepted")
+        left = stage(open_rows.join(known, "id", "left_anti").select("o", "review_id", "id"), "left")
+        accepted = self._resolve(left, edges.filter("not old").select("a", "b"))
         if append:
             taken = left.join(accepted, "o", "left_semi")
             texts = taken.select("id").filter("id is not null").distinct()
             self._add({
-                "texts": (fresh.join(texts, "id", "left_semi"), n), "postings": (postings.join(texts, "id", "left_semi"), m),
+                "texts": (fresh.join(texts, "id", "left_semi"), n), "postings": (keys.join(texts, "id", "left_semi"), m),
                 "ids": (taken.select("review_id").filter("review_id is not null").distinct(), n),
             })
-        unstage(open_rows, fresh, postings, pairs, edges, left)
+        unstage(open_rows, postings, pairs, edges)
         return accepted
 
     def _near(self, pairs: DataFrame, fresh: DataFrame, others: DataFrame) -> DataFrame:
-        """The candidates (a, b, old) whose texts are near, a among the fresh ones and b among the others."""
+        """The candidates (a, b, old) whose texts are near, a among the fresh ones and b among the others (id, text, old)."""
         t = fresh.select("id", "text")
-        both = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("_ta")), "a").join(others.select(F.col("id").alias("b"), F.col("text").alias("_tb")), "b")
+        both = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("_ta")), "a").join(others.select(F.col("id").alias("b"), "old", F.col("text").alias("_tb")), ["b", "old"])
         return compared(both.select("a", "b", "old", "_ta", "_tb"), self.threshold)
 
     def _resolve(self, rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -330,21 +342,30 @@ class IncrementalIndex:
         many rows as they have members, never pairs. The number of rounds is the longest chain of rows that depend on each other.
         """
         id_key, bag_key = F.concat(F.lit("i"), F.col("review_id")), F.concat(F.lit("b"), F.col("id").cast("string"))
-        published = rows.select("o", id_key.alias("key")).unionByName(rows.select("o", bag_key.alias("key"))).filter("key is not null")
-        heard = published.unionByName(rows.join(edges, rows.id == edges.a).select("o", F.concat(F.lit("b"), F.col("b").cast("string")).alias("key")))
+        published = rows.select("o", F.explode(F.array_compact(F.array(id_key, bag_key))).alias("key"))
+        both_ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        heard = published.withColumn("own", F.lit(True)).unionByName(rows.join(both_ways, rows.id == both_ways.a).select("o", F.concat(F.lit("b"), F.col("b").cast("string")).alias("key"), F.lit(False).alias("own")))
         shared = published.groupBy("key").agg(F.count("*").alias("n"))
         # Only rows that hear of another row take part in the rounds.
-        tied = stage(heard.groupBy("key", "o").agg(F.lit(1).alias("one")).join(shared, "key").join(published.withColumn("own", F.lit(1)), ["key", "o"], "left").filter("n > 1 or own is null").select("o", "key"), "heard")
-        said_by = stage(published.join(tied.select("key").distinct(), "key", "left_semi"), "published")
-        state = stage(tied.select("o").distinct().withColumn("settled", F.lit(None).cast("boolean")), "round")
-        while state.filter("settled is null").limit(1).count():
-            said = said_by.join(state, "o", "left").groupBy("key").agg(
-                F.min(F.when(F.col("settled"), F.col("o"))).alias("kept"), F.min(F.when(F.col("settled").isNull(), F.col("o"))).alias("unsettled")
+        counted = Observation()
+        tied = stage(heard.groupBy("key", "o").agg(F.max("own").alias("own")).join(shared, "key").filter("n > 1 or not own").select("o", "key", "own").observe(counted, F.count(F.lit(1)).alias("n")), "heard")
+        if not counted.get["n"]:
+            return rows.select("o")
+        # A row that others hear of but that hears of none is settled from the start: it is accepted.
+        state = tied.select("o").distinct().withColumn("settled", F.lit(None).cast("boolean"))
+        said_by = published.join(tied.select("key").distinct(), "key", "left_semi")
+        rounds = []
+        while True:
+            said = said_by.join(state.withColumn("known", F.lit(True)), "o", "left").groupBy("key").agg(
+                F.min(F.when(F.col("settled") | F.col("known").isNull(), F.col("o"))).alias("kept"), F.min(F.when(F.col("settled").isNull() & F.col("known"), F.col("o"))).alias("unsettled")
             )
-            now = tied.join(state.filter("settled is null"), "o").join(said, "key", "left").groupBy("o").agg(F.min("kept").alias("kept"), F.min("unsettled").alias("unsettled"))
+            now = tied.select("o", "key").join(state.filter("settled is null"), "o").join(said, "key", "left").groupBy("o").agg(F.min("kept").alias("kept"), F.min("unsettled").alias("unsettled"))
             verdict = now.select("o", F.when(F.col("kept") < F.col("o"), False).when(F.coalesce(F.col("unsettled") >= F.col("o"), F.lit(True)), True).alias("settled"))
-            before, state = state, stage(state.filter("settled is not null").unionByName(verdict), "round")
-            unstage(before)
-        unstage(said_by, tied)
-        free = rows.select("o").join(state.select("o"), "o", "left_anti")
-        return free.unionByName(state.filter("settled").select("o"))
+            counted = Observation()
+            state = stage(state.filter("settled is not null").unionByName(verdict).observe(counted, F.count_if(F.col("settled").isNull()).alias("n")), "round")
+            rounds.append(state)
+            if not counted.get["n"]:
+                break
+        accepted = stage(rows.select("o").join(state.filter("not settled").select("o"), "o", "left_anti"), "accepted")
+        unstage(tied, *rounds)
+        return accepted

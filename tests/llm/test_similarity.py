@@ -137,7 +137,7 @@ def test_batches_at_once_and_one_by_one(spark, batches):
         index = incremental.IncrementalIndex(spark, index.path)  # what is on disk is all there is
         found |= {r["seq"] for r in index.admit(new_frame(spark, [r for r in new if r[1] == no])).filter("duplicate").collect()}
     assert found == wanted
-    in_turn = incremental.IncrementalIndex(spark, bucket_rows=60).build(h).admit_batches(new_frame(spark, new))
+    in_turn = incremental.IncrementalIndex(spark, bucket_rows=60).build(h).admit_batches(new_frame(spark, new), at_once=2)
     assert {r["seq"] for r in in_turn.filter("duplicate").collect()} == wanted and in_turn.count() == len(new)
 
 
