@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK = "reviewloom.staging.fallback"
 #: A plan is spread if its estimated bytes would make fewer splits of this size than there are cores.
-SPLIT_BYTES = 32 << 20
+SPLIT_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
