@@ -330,21 +330,51 @@ def test_themes_of_known_subjects(spark):
     assert [tuple(r) for r in t.same_theme(pairs).collect()] == [(0, 12)]
 
 
-def test_levels_of_leaders(spark):
-    df = table(spark, f"{DATA}/sf0.01", "clean_reviews")
-    t = peaks.Themes(df, block=200, leaders_of_block=60)
-    assert t.row_labels().count() == df.count() and 10 <= t.row_labels().filter("theme_id > 0").select("theme_id").distinct().count() <= 14
+def test_cells_against_all_pairs(spark, monkeypatch):
+    """Densities are of the whole collection whatever the cells; pointers lead to denser records; labels agree."""
+    rows = subjects(600, random.Random(8))
+    df = spark.createDataFrame(rows, "seq long, cleaned_text string")
+    whole = peaks.Themes(df)
+    monkeypatch.setattr(peaks, "LEADERS_AT_ONCE", 3)
+    celled = peaks.Themes(df, cell=60)
+    a, b = ({r["rep"]: r for r in t.pointers.collect()} for t in (whole, celled))
+    assert len(a) == 600 and set(a) == set(b)
+    import numpy as np
 
+    assert np.median([abs(a[k]["rho"] - b[k]["rho"]) / a[k]["rho"] for k in a]) < 0.1
+    for t in (a, b):
+        assert all(r["parent"] == k or (t[r["parent"]]["rho"], -r["parent"]) > (r["rho"], -k) for k, r in t.items())
+        assert sum(r["parent"] == k for k, r in t.items()) == 1
+    labels = [dict(map(tuple, t.row_labels().collect())) for t in (whole, celled)]
+    pairs = [(i, j) for i in range(0, 600, 7) for j in range(i + 1, 600, 11)]
+    # Ten cells of 60 records, of which a record meets three: 0.954 was measured.
+    assert sum((labels[0][i] == labels[0][j]) == (labels[1][i] == labels[1][j]) for i, j in pairs) >= 0.93 * len(pairs)
 
-def test_densities_are_those_of_the_whole_collection(spark):
-    df = spark.createDataFrame(subjects(600, random.Random(8)), "seq long, cleaned_text string")
-    whole, tiled = peaks.Themes(df), peaks.Themes(df, block=100)
-    a, b = ({r["rep"]: r for r in t.pointers.collect()} for t in (whole, tiled))
-    assert len(a) == 600 and set(a) == set(b)
-    assert all(abs(a[k]["rho"] - b[k]["rho"]) < 1e-5 * a[k]["rho"] and abs(a[k]["delta"] - b[k]["delta"]) < 1e-4 for k in a)
-    assert all(r["parent"] == k or (b[r["parent"]]["rho"], -r["parent"]) > (r["rho"], -k) for k, r in b.items())
-    labels = [dict(map(tuple, t.row_labels().collect())) for t in (whole, tiled)]
-    assert sum(labels[0][k] == labels[1][k] for k in a) >= 0.99 * len(a)
+
+def test_nearest_denser_equals_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(300, 4)).astype(np.float32)
+    rho, rep = np.round(rng.random(300), 1), rng.permutation(300)
+    got = {r.rep: r.cosine for r in peaks._nearest_denser(z, rep, rho, np.arange(0, 300, 2), np.arange(300)).itertuples()}
+    for i in range(0, 300, 2):
+        denser = [j for j in range(300) if (rho[j], -rep[j]) > (rho[i], -rep[i])]
+        assert (rep[i] in got) == bool(denser) and (not denser or abs(got[rep[i]] - max(z[denser] @ z[i])) < 1e-5)
+
+
+def test_crowded_cells_are_divided(spark):
+    df = spark.createDataFrame(subjects(700, random.Random(4)), "seq long, cleaned_text string")
+    one, many = peaks.Themes(df, cell=1000), peaks.Themes(df, cell=1000)
+    assert one.row_labels().count() == many.row_labels().count() == 700
+    from unittest import mock
+
+    with mock.patch.object(peaks, "MAX_PIVOTS", 2):
+        few = peaks.Themes(df, cell=25, visits=2)  # two cells of some 350, in shards of 100
+    a, b = ({r["rep"]: r for r in t.pointers.collect()} for t in (one, few))
+    assert all(abs(a[k]["rho"] - b[k]["rho"]) < 1e-5 for k in a)
+    # Densities equal but for rounding may change places.
+    assert sum(abs(a[k]["delta"] - b[k]["delta"]) < 1e-4 for k in a) >= 0.99 * len(a)
 
 
 def test_themes_of_nothing(spark):
