@@ -10,8 +10,12 @@ Each index is distributed by the leading bits of the substring, more of them as
 about ``PART`` codes; a vector is sent only to the parts that its probes can reach, and parts whose keys are crowded are
 divided further.
 
-That serves neighbours above a floor. The nearest at any cosine (``nearest``) can be half of all bits away, where probing
-retrieves most of the collection, so every vector is compared with every other, in tiles of ``TILE`` by ``TILE`` vectors.
+That serves neighbours above a floor. The nearest at any cosine (``nearest``) are often a fifth of all bits away. For them
+codes of 256 bits are cut into sixteen substrings, each probed within r bits, which proves all codes within 16 * (r + 1) - 1
+bits and finds most beyond that: a code further away is still retrieved if one of its sixteen substrings is near. The radius
+grows (``NEAR_RADII``) for those vectors whose k-th neighbour so far is so far away that others like it are missed with more
+than a chance of 1 - ``EXPECTED``; the last radius retrieves everything. All that is retrieved is ranked by quantised vectors
+under the proven bound, then exactly.
 
 Vectors that are null, hold nulls or NaN, are all zeros, or have another length than most, take no part. Equal vectors are
 one class until the ranking, in which each row counts by itself; ties go to the smaller seq; a row is no neighbour of itself.
@@ -20,10 +24,12 @@ one class until the ranking, in which each row counts by itself; ties go to the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +38,14 @@ from reviewloom.staging import spread, stage
 #: The rotation is learned on at most so many vectors, those with the smallest hash of their seq.
 SAMPLE, ROUNDS = 20_000, 40
 BITS, SUBSTRINGS, RADIUS = 64, 4, 11
+_SUB = BITS // SUBSTRINGS
 #: A retrieved code this many bits beyond the radius is still ranked: the probes find some of those as well.
 BEYOND = 3
 PART = 100_000
-#: Vectors on a side of a tile when all are compared with all.
-TILE = 32_768
-_SUB = BITS // SUBSTRINGS
-
-
+#: Probes that a task takes at most, in multiples of PART.
+PROBES = 8
+#: Codes of ``nearest``, the bits within which each substring is probed, and the least chance to retrieve a vector as near as the k-th found.
+NEAR_BITS, NEAR_RADII, EXPECTED = 256, (2, 4, 6, _SUB), 0.75
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """(dimension, bits): a projection on principal axes, rotated so that signs lose little."""
     dim = x.shape[1]
@@ -69,32 +75,49 @@ def masks_within(bits: int, radius: int) -> np.ndarray:
     return x[np.bitwise_count(x) <= radius]
 
 
-def top_of(x: np.ndarray, y: np.ndarray, x_rep: np.ndarray, y_rep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, cosine): of each row of x the k rows of y of greatest cosine, ties by rep, without the row itself; unit rows."""
-    groups = max(1, min(512, len(y) // 4))
-    width = -(-len(y) // groups)
-    data = np.zeros((groups * width, y.shape[1]), np.float32)
-    data[: len(y)] = y
-    out: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, len(x), 256):
-        s = x[at : at + 256].astype(np.float32) @ data.T
-        s[:, len(y) :] = -2
-        best = s.reshape(len(s), width, groups).max(axis=1)
-        # At least k + 1 rows reach the (k + 1)-th greatest of the groups' maxima; the margin covers single precision.
-        least = np.partition(best, groups - k - 1, axis=1)[:, groups - k - 1] if groups > k else np.full(len(s), -1.5, np.float32)
-        i, j = np.nonzero(s >= np.maximum(least - 1e-5, -1.5)[:, None])
-        i += at
-        other = x_rep[i] != y_rep[j]
-        i, j = i[other], j[other]
-        c = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[i[t : t + 100_000]], y[j[t : t + 100_000]]) for t in range(0, len(i), 100_000))])
-        c = np.round(np.minimum(c, 1.0), 12)
-        order = np.lexsort((y_rep[j], -c, i))
-        i, j, c = i[order], j[order], c[order]
-        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
-        place = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
-        keep = place < k
-        out.append((x_rep[i[keep]], y_rep[j[keep]], c[keep]))
-    return tuple(np.concatenate(t) for t in zip(*out))
+def least_cosine(radius: int) -> float:
+    """The cosine down to which a vector's code is retrieved with a chance of ``EXPECTED``, bits differing independently."""
+
+    def chance(p: float) -> float:
+        one = sum(comb(_SUB, i) * p**i * (1 - p) ** (_SUB - i) for i in range(radius + 1))
+        return 1 - (1 - one) ** (NEAR_BITS // _SUB)
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chance(mid) >= EXPECTED else (low, mid)
+    return float(np.cos(np.pi * low))
+
+
+def retrieved(key: np.ndarray, q: np.ndarray, scale: np.ndarray, asked_key: np.ndarray, asked_q: np.ndarray, asked_scale: np.ndarray, k: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(asked, found): for each asked vector those whose key is within ``radius`` bits and which may be among its ``k`` nearest.
+
+    Cosines are those of quantised vectors; what may exceed the k-th best under their error bound is kept. One more is
+    allowed for, as a vector meets itself.
+    """
+    order = np.argsort(key, kind="stable")
+    first = np.searchsorted(key[order], np.arange((1 << _SUB) + 1))
+    masks = masks_within(_SUB, radius).astype(np.int64)
+    slack = np.sqrt(q.shape[1]) * 0.5 * 1.01 * scale
+    asked, found = [], []
+    for i in range(len(asked_key)):
+        keys = asked_key[i] ^ masks
+        starts, counts = first[keys], first[keys + 1] - first[keys]
+        filled = counts > 0
+        starts, counts = starts[filled], counts[filled]
+        if not len(starts):
+            continue
+        at = order[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        c = (q[at].astype(np.float32) @ asked_q[i].astype(np.float32)) * (scale[at] * asked_scale[i])
+        off = slack[at] + np.sqrt(q.shape[1]) * 0.5 * 1.01 * asked_scale[i]
+        if len(at) > k + 1:
+            least = np.partition(c - off, len(at) - k - 1)[len(at) - k - 1]
+            keep = c + off >= least
+            at = at[keep]
+        asked.append(np.full(len(at), i))
+        found.append(at)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *asked]), np.concatenate([none, *found])
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -118,10 +141,10 @@ class MultiIndex:
         self.classes = stage(classes, "vectors")
         self.dim = len((self.classes.select("v").first() or {"v": []})["v"])
 
-    def _rotation(self) -> np.ndarray:
+    def _rotation(self, bits: int = BITS) -> np.ndarray:
         sample = self.classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()
         x = _matrix(sample.column("v").combine_chunks(), self.dim)
-        return learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
+        return learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), bits)
 
     def _routed(self, leading: int, dim: int) -> DataFrame:
         """A row for each vector, substring and part in reach: (sub, part, home, rep, code, q, scale)."""
@@ -170,8 +193,9 @@ class MultiIndex:
             slack = np.sqrt(dim) * 0.5 * scale
             found_a, found_b = [], []
             at_once = max(1, 4_000_000 // max(1, len(home) // 16 + len(near_keys)))
-            for at in range(0, len(pdf), at_once):
-                probes = np.arange(at, min(at + at_once, len(pdf)))
+            probing = np.flatnonzero(pdf["probe"].to_numpy())
+            for at in range(0, len(probing), at_once):
+                probes = probing[at : at + at_once]
                 keys = (key[probes, None] ^ near_keys[None]).ravel()
                 starts, counts = first[keys], first[keys + 1] - first[keys]
                 filled = np.flatnonzero(counts)
@@ -204,20 +228,23 @@ class MultiIndex:
             return pd.DataFrame({"a": np.concatenate([none, *found_a]), "b": np.concatenate([none, *found_b])})
 
         routed = self._routed(leading, dim)
+        # Crowded parts: home codes are divided among shards, and what probes them goes to each shard. Probes are divided among
+        # slices as they grow with the parts in reach, and home codes go to each slice. A task's rows are thus bounded.
         shards = F.lit(1)
         if leading:
-            # Crowded parts: home codes are divided among shards, and what probes them goes to each shard.
-            crowd = self.classes.count() / 2**leading
-            homes = stage(routed.filter("home").groupBy("sub", "part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (4 * max(crowd, PART)))).cast("int").alias("shards")), "crowds")
+            homes = stage(routed.filter("home").groupBy("sub", "part").agg(F.ceil(F.count("*") / (4 * PART)).cast("int").alias("shards")), "crowds")
             routed = routed.join(F.broadcast(homes), ["sub", "part"])  # at most 4 * 2 ** leading rows
             shards = F.col("shards")
-        every = F.transform(F.sequence(F.lit(0), shards - 1), lambda i: i)
-        own = F.pmod(F.xxhash64("rep"), shards).cast("int")
-        placed = routed.withColumn("shard", F.explode(every)).withColumn("home", F.col("home") & (F.col("shard") == own))
-        return placed.select("sub", "part", "shard", "home", "rep", "code", "q", "scale").groupBy("sub", "part", "shard").applyInPandas(probe, "a long, b long")
+        slices = -(-len(masks_within(leading, radius // SUBSTRINGS)) // PROBES) if leading else 1
+        h = F.xxhash64("rep")
+        placed = (
+            routed.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+            .withColumn("home", F.col("home") & (F.col("shard") == F.pmod(h, shards))).withColumn("probe", F.col("slice") == F.pmod(F.shiftright(h, 20), F.lit(slices))).filter("home or probe")
+        )
+        return placed.select("sub", "part", "shard", "slice", "home", "probe", "rep", "code", "q", "scale").groupBy("sub", "part", "shard", "slice").applyInPandas(probe, "a long, b long")
 
-    def class_pairs(self) -> DataFrame:
-        """(a, b, cosine) of distinct vectors with a cosine of at least the floor, exact to twelve digits."""
+    def _cosines(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, cosine) of pairs of distinct vectors, exact to twelve digits."""
         dim = self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,37 +256,89 @@ class MultiIndex:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(np.minimum(c, 1.0), 12))], names=["a", "b", "cosine"])
 
         v = self.classes.select("rep", "v")
-        pairs = self.candidates().join(v.select(F.col("rep").alias("a"), F.col("v").alias("x")), "a").join(v.select(F.col("rep").alias("b"), F.col("v").alias("y")), "b")
-        return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, cosine double").filter(F.col("cosine") >= self.floor)
+        both = pairs.join(v.select(F.col("rep").alias("a"), F.col("v").alias("x")), "a").join(v.select(F.col("rep").alias("b"), F.col("v").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, cosine double")
+
+    def class_pairs(self) -> DataFrame:
+        """(a, b, cosine) of distinct vectors with a cosine of at least the floor."""
+        return self._cosines(self.candidates()).filter(F.col("cosine") >= self.floor)
 
     def neighbours(self, k: int = 5) -> DataFrame:
         """(seq, neighbour, cosine, rank): the ``k`` most similar rows of each row that are at the floor or above."""
         pairs = stage(self.class_pairs(), "cosines")
         return self._ranked(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")), k)
 
-    def nearest(self, k: int = 5) -> DataFrame:
-        """(seq, neighbour, cosine, rank): the ``k`` most similar rows of each row at any cosine, exact."""
+    def nearest(self, k: int = 5, every: int = 20) -> DataFrame:
+        """(seq, neighbour, cosine, rank): the ``k`` most similar rows, at any cosine, of each row whose seq is divisible by ``every``.
+
+        All rows are indexed and may be found. Cosines and the order are exact, what is found is not all: see the README for
+        the recall.
+        """
+        n = self.classes.count()
+        asked = self.rows.filter(F.col("seq") % every == 0)
+        found = self.spark.createDataFrame([], "a long, b long, cosine double")
+        if not n:
+            return self._ranked(found, k, asked)
+        rotation = self.spark.sparkContext.broadcast(self._rotation(NEAR_BITS))
+        pending = stage(self.classes.join(asked.select("v").distinct(), "v", "left_semi").select("rep"), "asked")
+        for radius in NEAR_RADII:
+            pairs = stage(self._cosines(self._probed(pending, rotation, n, k, radius)), "retrieved")
+            found = found.unionByName(pairs)
+            if radius == NEAR_RADII[-1]:
+                break
+            kth = pairs.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine")))).filter((F.col("n") == k) & (F.col("cosine") >= least_cosine(radius)))
+            pending = stage(pending.join(kth.select(F.col("a").alias("rep")), "rep", "left_anti"), "pending")
+            if pending.isEmpty():
+                break
+        return self._ranked(found.distinct(), k, asked)
+
+    def _probed(self, asking: DataFrame, rotation: Broadcast, n: int, k: int, radius: int) -> DataFrame:
+        """(a, b): for each asking class (rep) the classes that one of its substrings retrieves and that may be among its nearest."""
         dim = self.dim
-        tiles = max(1, -(-self.classes.count() // TILE))
-        own, other = F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(tiles)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-        placed = self.classes.select("rep", "v", own.alias("own"), other.alias("other")).select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "v")
-
-        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            rep, first = pdf["rep"].to_numpy(), (pdf["own"] == pdf["low"]).to_numpy()
-            low, high = int(pdf["low"].iat[0]), int(pdf["high"].iat[0])
-            sides = [(first, first)] if low == high else [(first, ~first), (~first, first)]
-            found = [top_of(x[p], x[q], rep[p], rep[q], k) for p, q in sides if p.any() and q.any()]
-            a, b, c = (np.concatenate(t) for t in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            return pd.DataFrame({"a": a, "b": b, "cosine": c})
-
-        if not dim:
-            return self._ranked(self.spark.createDataFrame([], "a long, b long, cosine double"), k)
-        return self._ranked(placed.groupBy("low", "high").applyInPandas(compare, "a long, b long, cosine double"), k)
-
-    def _ranked(self, both: DataFrame, k: int) -> DataFrame:
-        """The first ``k`` rows of each row, from classes b near to classes a."""
+        subs = NEAR_BITS // _SUB
+        leading = max(0, min(_SUB - 2, int(np.ceil(np.log2(max(1, n / PART))))))
+        reach = masks_within(leading, radius) if leading else np.zeros(1, np.int64)
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(at, 2000)
+                    x = _matrix(batch.column(1), dim)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    keys = np.packbits(x @ rotation.value >= 0, axis=1).view(np.uint16).astype(np.int64)
+                    scale = np.abs(x).max(axis=1) / 127
+                    packed = pa.Array.from_buffers(pa.binary(dim), len(x), [None, pa.py_buffer(np.round(x / scale[:, None]).astype(np.int8).tobytes())]).cast(pa.binary())
+                    asks = batch.column(2).to_numpy(zero_copy_only=False)
+                    for query, masks in ((False, np.zeros(1, np.int64)), (True, reach)):
+                        own = np.flatnonzero(asks) if query else np.arange(len(x))
+                        rows = np.repeat(own, len(masks) * subs)
+                        sub = np.tile(np.repeat(np.arange(subs), len(masks)), len(own))
+                        key = keys[rows, sub]
+                        part = (key >> (_SUB - leading)) ^ np.tile(masks, len(own) * subs)
+                        take = pa.array(rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(sub.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.full(len(rows), query)), batch.column(0).take(take), pa.array(key.astype(np.int32)), packed.take(take), pa.array(scale[rows])], names=["sub", "part", "query", "rep", "key", "q", "scale"])
+
+        def probe(pdf: pd.DataFrame) -> pd.DataFrame:
+            query = pdf["query"].to_numpy()
+            key, scale, rep = pdf["key"].to_numpy().astype(np.int64), pdf["scale"].to_numpy(), pdf["rep"].to_numpy()
+            q = np.frombuffer(b"".join(pdf["q"]), np.int8).reshape(len(pdf), dim)
+            i, j = retrieved(key[~query], q[~query], scale[~query], key[query], q[query], scale[query], k, radius)
+            a, b = rep[query][i], rep[~query][j]
+            return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+
+        marked = self.classes.join(asking.withColumn("asks", F.lit(True)), "rep", "left").select("rep", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
+        routed = marked.mapInArrow(route, "sub int, part int, query boolean, rep long, key int, q binary, scale double")
+        shards = F.lit(1)
+        if leading:
+            crowds = stage(routed.filter("not query").groupBy("sub", "part").agg(F.ceil(F.count("*") / (4 * PART)).cast("int").alias("shards")), "crowds")
+            routed = routed.join(F.broadcast(crowds), ["sub", "part"])  # at most 16 * 2 ** leading rows
+            shards = F.col("shards")
+        own = F.array(F.pmod(F.xxhash64("rep"), shards).cast("int"))
+        placed = routed.withColumn("shard", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), shards - 1)).otherwise(own)))
+        return placed.select("sub", "part", "shard", "query", "rep", "key", "q", "scale").groupBy("sub", "part", "shard").applyInPandas(probe, "a long, b long").distinct()
+
+    def _ranked(self, both: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
+        """The first ``k`` rows of each row (of those asked for), from classes b near to classes a."""
         members = stage(self.rows.join(self.classes.filter("copies > 1").select("v", "rep"), "v").select("rep", "seq").unionByName(self.classes.filter("copies = 1").select("rep", F.col("rep").alias("seq"))), "members")
         by_seq = Window.partitionBy("rep").orderBy("seq")
         few = members.withColumn("n", F.row_number().over(by_seq)).filter(F.col("n") <= k + 1)
@@ -269,7 +348,8 @@ class MultiIndex:
         )
         # One more than k, as a row may itself be among the first of its class.
         best = offered.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "neighbour"))).filter(F.col("n") <= k + 1)
-        per_row = members.join(best, "rep").filter("seq <> neighbour")
+        wanted = members if asked is None else members.join(asked.select("seq"), "seq", "left_semi")
+        per_row = wanted.join(best, "rep").filter("seq <> neighbour")
         ranked = per_row.withColumn("rank", F.row_number().over(Window.partitionBy("seq").orderBy("n")))
         return ranked.filter(F.col("rank") <= k).select("seq", "neighbour", "cosine", "rank")
 
