@@ -3,7 +3,8 @@
 Rows with equal bags are one class; only classes are compared. Candidates are classes that agree in all MinHash values of
 a band. Within the join on bands, further MinHash values (one bit of each) are compared in steps; a pair is dropped as
 soon as the posterior probability that its similarity reaches the threshold falls below ``TOLERANCE``. What remains is
-verified exactly on the texts, so no false pair comes out. The chance to miss a pair is that of no band agreeing
+verified exactly on the texts, so no false pair comes out. A band that many classes share is one sort-merge join key, which
+adaptive execution divides among tasks as it does any skewed partition; its pairs are compared inside the join, not emitted. The chance to miss a pair is that of no band agreeing
 (5e-6 for a pair just at the threshold, far less above) plus the tolerance.
 
 Null and empty texts, and those of fewer than ``MIN_WORDS`` words, are near to nothing. Rows with equal texts are near to
@@ -17,11 +18,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reviewloom.llm.words import MIN_WORDS, THRESHOLD, bags, classes_of, elements, mix, verified
-from reviewloom.staging import stage
+from reviewloom.staging import stage, unstage
 
 #: Bands of MinHash values: a pair at similarity s shares none with probability (1 - s ** WIDTH) ** BANDS.
 BANDS, WIDTH = 40, 6
@@ -140,3 +141,25 @@ class NearDuplicates:
         ends = self.pairs.select(F.col("a").alias("rep")).unionByName(self.pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
         known = self.classes.select("bag", "rep", "copies").join(ends, "rep", "left")
         return self.rows.join(known, "bag").select("seq", F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+    def groups(self) -> DataFrame:
+        """(seq, group_id, size): the groups that near pairs and copies connect; group_id is the smallest seq of the group.
+
+        Each class takes the least id among its neighbours', then the id of that one, until nothing moves: the distance that
+        an id travels doubles with each round, and a round is a join over the pairs. Rows without a near one are groups of one.
+        """
+        both = self.pairs.unionByName(self.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        heads = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("head")), "heads")
+        while True:
+            near = both.join(heads.select(F.col("a").alias("b"), "head"), "b").groupBy("a").agg(F.min("head").alias("heard"))
+            least = heads.join(near, "a").select("a", F.least("head", "heard").alias("to"), F.col("head").alias("was"))
+            counted = Observation()
+            jumped = least.join(heads.select(F.col("a").alias("to"), F.col("head").alias("further")), "to").select("a", F.least("to", "further").alias("head"), "was")
+            moved = stage(jumped.observe(counted, F.count_if(F.col("head") < F.col("was")).alias("n")).select("a", "head"), "heads")
+            unstage(heads)
+            heads = moved
+            if not counted.get["n"]:
+                break
+        ids = self.classes.join(heads.select(F.col("a").alias("rep"), "head"), "rep", "left").select("bag", "copies", F.coalesce("head", "rep").alias("group_id"))
+        sizes = ids.groupBy("group_id").agg(F.sum("copies").alias("size"))
+        return self.rows.join(ids.select("bag", "group_id"), "bag").join(sizes, "group_id").select("seq", "group_id", "size")

@@ -10,6 +10,7 @@ from reviewloom.sources.tables import table
 QUERIES = {
     "p1_found": lambda spark, d: near_dup.NearDuplicates(table(spark, d, "clean_reviews"), "seq", "cleaned_text").row_pairs(),
     "p1_links": lambda spark, d: near_dup.NearDuplicates(table(spark, d, "clean_reviews"), "seq", "cleaned_text").links(),
+    "p1_groups": lambda spark, d: near_dup.NearDuplicates(table(spark, d, "clean_reviews"), "seq", "cleaned_text").groups(),
     "p2_found": lambda spark, d: incremental.IncrementalIndex(spark).build(table(spark, d, "clean_reviews")).admit_batches(table(spark, d, "new_reviews")).filter("duplicate").select("seq"),
     "p3_found": lambda spark, d: peaks.Themes(table(spark, d, "clean_reviews")).same_theme(table(spark, d, "theme_pairs").filter("seq_a < seq_b")),
     "p3_themes": lambda spark, d: peaks.Themes(table(spark, d, "clean_reviews")).report(),

@@ -64,6 +64,29 @@ def test_near_pairs_equal_brute_force(spark, texts):
     links = {r["seq"]: r for r in found.links().collect()}
     assert set(links) == {i for i, t in enumerate(texts) if size(t) >= 25}
     assert links[len(texts) - 6]["copies"] == 8
+    head = {i: i for i in links}
+
+    def root(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i, j in pairs:
+        a, b = sorted((root(i), root(j)))
+        head[b] = a
+    sizes = Counter(root(i) for i in links)
+    assert {(r["seq"], r["group_id"], r["size"]) for r in found.groups().collect()} == {(i, root(i), sizes[root(i)]) for i in links}
+
+
+def test_a_long_chain_is_one_group(spark):
+    chain = [list(VOCABULARY[100:140])]
+    for k in range(25):
+        c = list(chain[-1])
+        for j in range(3):
+            c[(3 * k + j) % 40] = f"z{k}{j}"
+        chain.append(c)
+    got = near_dup.NearDuplicates(frame(spark, [" ".join(c) for c in chain]), "seq", "cleaned_text").groups().collect()
+    assert {(r["group_id"], r["size"]) for r in got} == {(0, 26)} and len(got) == 26
 
 
 def test_extra_columns_and_empty_tables(spark, texts):
