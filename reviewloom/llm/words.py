@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +62,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+@cache
+def as_fraction(threshold: float) -> Fraction:
+    return Fraction(threshold).limit_denominator(10_000)
+
+
 def near(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """Whether the similarity reaches the threshold, in whole numbers: 0.8 is taken as four fifths."""
-    t = Fraction(threshold).limit_denominator(10_000)
+    t = as_fraction(threshold)
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common * t.denominator >= t.numerator * (len(a) + len(b) - common)
 
