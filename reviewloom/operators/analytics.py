@@ -41,6 +41,23 @@ def mean2(column: Column) -> Column:
     return F.coalesce(F.round(F.avg(column), 2), F.lit(0.0))
 
 
+def insights(raw: DataFrame, reviews: DataFrame, chunks: DataFrame, members: DataFrame, themes: DataFrame, fees: DataFrame, cfg: EngineConfig = DEFAULTS) -> dict:
+    """All figures of a report in one bundle, ready for JSON: each is a table of one row a stage, star, week, version, theme or quote.
+
+    themes: (theme_id, label); fees: the reviews about fees.
+    """
+    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+    named = theme_breakdown(members, reviews).join(themes.select("theme_id", "label"), "theme_id", "left").orderBy("rank")
+    found = {
+        "funnel": rows(funnel(raw, reviews, chunks, members).orderBy("position")), "ratings": rows(rating_distribution(reviews).orderBy("stars")), "summary": rows(rating_summary(reviews))[0],
+        "trend": rows(weekly_change(reviews).orderBy("week")), "versions": rows(version_breakdown(reviews).orderBy("position")), "themes": rows(named),
+        "quotes": rows(top_quotes(reviews, cfg)), "fees": rows(fee_stats(fees, reviews))[0],
+    }
+    found["worst_theme"] = min(found["themes"], key=lambda t: (t["avg_rating"], t["rank"]), default=None)
+    found["largest_theme"] = found["themes"][0] if found["themes"] else None
+    return found
+
+
 def weekly_trend(reviews: DataFrame) -> DataFrame:
     """Weeks (their Monday) with the number of parsable ratings, out-of-range ones included, and the mean of those in 1..5."""
     r = reviews.select(review_day(F.col("date")).alias("d"), stars(F.col("rating")).alias("s")).filter("d is not null")

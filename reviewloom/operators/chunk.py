@@ -1,6 +1,6 @@
 """Chunks of reviews, batches of chunks, and the vector cache.
 
-Texts: null counts as empty. Token rule: functions.text.tokens unless a column of token arrays is given.
+Texts: null counts as empty. Token rule: functions.text.tokens.
 """
 
 from __future__ import annotations
@@ -54,10 +54,14 @@ def sentence_chunks(reviews: DataFrame) -> DataFrame:
     return reviews.select("seq", F.posexplode(T.sentences(F.coalesce("cleaned_text", F.lit("")))).alias("sentence_index", "sentence"))
 
 
+def uncached(chunks: DataFrame, cached: DataFrame) -> DataFrame:
+    """The chunks without a cached vector; those without an id are among them."""
+    return chunks.join(cached.select("chunk_id").filter("chunk_id is not null").distinct(), "chunk_id", "left_anti")
+
+
 def batches(chunks: DataFrame, cached: DataFrame, order: str = "seq", cfg: EngineConfig = DEFAULTS) -> DataFrame:
     """Chunks without a cached vector, in batches of a fixed size by input order: with a column batch_id from 0."""
-    new = chunks.join(cached.select("chunk_id").filter("chunk_id is not null").distinct(), "chunk_id", "left_anti")
-    return row_numbers(new, order).withColumn("batch_id", F.expr(f"(row_no - 1) div {cfg.embed_batch}"))
+    return row_numbers(uncached(chunks, cached), order).withColumn("batch_id", F.expr(f"(row_no - 1) div {cfg.embed_batch}"))
 
 
 def batch_sizes(chunks: DataFrame, cached: DataFrame, order: str = "seq", cfg: EngineConfig = DEFAULTS) -> DataFrame:

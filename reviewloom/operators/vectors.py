@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.config import DEFAULTS, EngineConfig
+from reviewloom.staging import stage
 
 
 def mean_vectors(rows: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
@@ -155,7 +156,7 @@ def kmeans(vectors: DataFrame, cfg: EngineConfig = DEFAULTS, starts: int = 10) -
     """(chunk_id, review_id, label): k-means over the unit vectors, the cheapest of some starts."""
     from pyspark.ml.clustering import KMeans
 
-    unit = _unit_features(vectors).cache()
+    unit = stage(_unit_features(vectors).select("chunk_id", "review_id", "unit"), "unit-vectors")
     n = unit.count()
     if not n:
         return vectors.filter("false").select("chunk_id", "review_id", F.lit(None).cast("int").alias("label"))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.config import DEFAULTS, EngineConfig
-from reviewloom.operators import analytics, chunk, clean, dedup, fee, report, themes, validate, vectors
+from reviewloom.operators import analytics, chunk, clean, dedup, delivery, density, fee, report, themes, validate, vectors
 from reviewloom.protocols import Clusterer, Delivery, Embedder, TextGenerator
 from reviewloom.staging import stage
 
@@ -52,16 +53,18 @@ def corpus_of(scraped: DataFrame, cfg: EngineConfig = DEFAULTS, end: str | None
 
 
 def cluster(vector_rows: DataFrame, cfg: EngineConfig = DEFAULTS, clusterer: Clusterer | None = None, relaxed: Clusterer | None = None) -> DataFrame:
-    """(chunk_id, review_id, label): the given clusterer, once more in its relaxed form if there is too much noise, and k-means
-    if it finds too few clusters or none is given."""
-    if clusterer is not None:
-        labels = stage(clusterer(vector_rows), "labels")
+    """(chunk_id, review_id, label): the given clusterer (density clustering, unless given), once more in its relaxed form if
+    there is too much noise, and k-means if it finds too few clusters."""
+    if clusterer is None:
+        clusterer = lambda v: density.hdbscan(v, cfg, cfg.hdbscan_min_cluster)
+        relaxed = lambda v: density.hdbscan(v, cfg, cfg.hdbscan_relaxed_cluster)
+    labels = stage(clusterer(vector_rows), "labels")
+    shape = vectors.cluster_shape(labels).first()
+    if relaxed is not None and shape["clusters"] >= cfg.min_clusters and shape["noise_share"] > cfg.noise_share:
+        labels = stage(relaxed(vector_rows), "labels")
         shape = vectors.cluster_shape(labels).first()
-        if relaxed is not None and shape["clusters"] >= cfg.min_clusters and shape["noise_share"] > cfg.noise_share:
-            labels = stage(relaxed(vector_rows), "labels")
-            shape = vectors.cluster_shape(labels).first()
-        if shape["clusters"] >= cfg.min_clusters:
-            return labels
+    if shape["clusters"] >= cfg.min_clusters:
+        return labels
     return stage(vectors.kmeans(vector_rows, cfg), "labels")
 
 
@@ -76,7 +79,7 @@ def generate(scraped: DataFrame, product: str, week_end: str, cfg: EngineConfig
     position = corpus.groupBy("review_id").agg(F.min("seq").alias("pos"))
     members = votes.join(position, "review_id").select("theme_id", "review_id", "pos")
     ranks = stage(vectors.cap_and_rank(members, cfg), "ranks")
-    final = members.join(F.broadcast(ranks.select("theme_id", "final_id")), "theme_id", "left").select(F.coalesce(F.when(F.col("final_id") == -2, 1 << 20).otherwise(F.col("final_id")), "theme_id").cast("int").alias("theme_id"), "review_id", "pos")
+    final = members.join(ranks.select("theme_id", "final_id"), "theme_id", "left").select(F.coalesce(F.when(F.col("final_id") == -2, 1 << 20).otherwise(F.col("final_id")), "theme_id").cast("int").alias("theme_id"), "review_id", "pos")
     final = stage(final, "members")
     breakdown = analytics.theme_breakdown(final, corpus)
     labelled = stage(breakdown.join(themes.label_themes(breakdown, themes.sample(final, corpus, cfg)), "theme_id"), "themes")
@@ -104,10 +107,18 @@ def generate(scraped: DataFrame, product: str, week_end: str, cfg: EngineConfig
     return run
 
 
-def deliver(pending: str, channel: Delivery, recipients: list[str], delivered_before: set[str]) -> dict | None:
-    """Sends a pending report once; the record of it, or None if its key was delivered before."""
+def deliver(pending: str, channel: Delivery, recipients: list[str], delivered_before: set[str], log: delivery.AuditLog | None = None, folder: str | None = None) -> dict | None:
+    """Sends a pending report once; the record of it, or None if its key was delivered before, as the set or the log says.
+
+    With a folder the report is saved there as a file as well; with a log the record is entered into it.
+    """
     p = json.loads(pending)
-    if p["report_key"] in delivered_before:
+    if p["report_key"] in delivered_before or log is not None and log.delivered(p["product"], p["week_start"], p["report_key"]):
         return None
+    if folder is not None:
+        delivery.save_report(folder, p["product"], p["week_start"], p["report_markdown"] or "")
     ok = channel.send(f"{p['product']}: reviews of the week from {p['week_start']}", report.to_html(p["report_markdown"] or ""), recipients)
-    return {k: p[k] for k in ("product", "week_start", "week_end", "review_count", "theme_count", "report_key")} | {"ok": ok, "recipients": ", ".join(recipients)}
+    record = {k: p[k] for k in ("product", "week_start", "week_end", "review_count", "theme_count", "report_key")} | {"ok": ok, "recipients": ", ".join(recipients)}
+    if log is not None:
+        log.record(record | {"delivered_at": datetime.now(UTC).isoformat(timespec="seconds")})
+    return record

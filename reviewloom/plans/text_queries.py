@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.config import DEFAULTS
 from reviewloom.functions import text as T
-from reviewloom.operators import chunk, clean, dedup, registry, validate, vectors
+from reviewloom.operators import chunk, clean, dedup, density, registry, validate, vectors
 from reviewloom.plans.insight_queries import MEMBERS, members, reviews
 from reviewloom.sources.tables import table
 
@@ -38,16 +38,16 @@ def run_events(s: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("event_seq"), F.when(F.col("event_id") % 3 != 0, status).alias("status"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("step"))
 
 
-def all_shared_quotes(s: SparkSession, d: str) -> DataFrame:
+def shared_quotes(s: SparkSession, d: str) -> DataFrame:
     """Quotes to be checked: pieces of all reviews with 40 votes or more, every other one altered."""
     r = reviews(s, d).filter("thumbs_up_count >= 40 and length(original_text) >= 40")
     q = F.substring("original_text", 5, 60)
     return r.select(F.lit(1).alias("report_id"), F.col("seq").cast("int").alias("line_no"), F.when(F.col("seq") % 2 == 0, q).otherwise(F.concat(F.lit("zz#"), q, F.lit("#zz"))).alias("quote"))
 
 
-def shared_quotes(s: SparkSession, d: str) -> DataFrame:
-    """The 40 of these quotes with the smallest seq, as the SQL of quote_match states them."""
-    return all_shared_quotes(s, d).orderBy("line_no").limit(40)
+def first_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The first chunk of every review, most of which are in chunk_vectors already."""
+    return reviews(s, d).select(F.concat("review_id", F.lit("_chunk_0")).alias("chunk_id"), "seq")
 
 
 QUERIES = {
@@ -72,22 +72,22 @@ QUERIES = {
     "sliding_chunks": lambda s, d: chunk.sliding_chunks(reviews(s, d)),
     "sentence_chunks": lambda s, d: chunk.sentence_chunks(reviews(s, d)),
     "chunk": lambda s, d: chunk.chunk(reviews(s, d)).select("chunk_id", "seq", "chunk_index", "total_chunks", F.length("chunk_text").alias("chars")),
-    "embed_batches": lambda s, d: chunk.batch_sizes(vector_rows(s, d), vector_rows(s, d).filter("seq % 3 = 0")),
-    "cache_skip": lambda s, d: vector_rows(s, d).join(vector_rows(s, d).filter("seq % 3 = 0").select("chunk_id"), "chunk_id", "left_anti").select("seq"),
-    "vector_upsert": lambda s, d: chunk.upsert(vector_rows(s, d).filter("seq % 3 = 0").select("chunk_id", "seq"), vector_rows(s, d).filter("seq % 4 = 0").select("chunk_id", "seq")),
+    "embed_batches": lambda s, d: chunk.batch_sizes(first_chunks(s, d), vector_rows(s, d)),
+    "cache_skip": lambda s, d: chunk.uncached(first_chunks(s, d), vector_rows(s, d)).select("seq"),
+    "vector_upsert": lambda s, d: chunk.upsert(vector_rows(s, d).select("chunk_id", "seq"), first_chunks(s, d)),
     "centroids": lambda s, d: vectors.mean_vectors(vector_rows(s, d).select((F.length("chunk_text") % 5).cast("int").alias("label"), "embedding"), "label").select("label", "n", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid")),
     "representative_quotes": lambda s, d: vectors.representative_quotes(vector_rows(s, d), members(s, d), reviews(s, d)),
     "majority_vote": lambda s, d: vectors.majority_vote(labels(s, d)),
     "cluster_shape": lambda s, d: vectors.cluster_shape(labels(s, d)).select("clusters", F.round("noise_share", 9).alias("noise_share")),
-    "chunk_meta": lambda s, d: vectors.chunk_meta(labels(s, d).drop("review_id"), vector_rows(s, d).filter("seq % 2 = 0")),
+    "chunk_meta": lambda s, d: vectors.chunk_meta(labels(s, d).drop("review_id"), vector_rows(s, d).filter("chunk_index = 0")),
     "hash_embed": lambda s, d: vectors.hash_embed(reviews(s, d), "seq", "cleaned_text"),
     "pca_reduce": lambda s, d: vectors.reduce_dimensions(vector_rows(s, d)).select("seq", "reduced"),
+    "hdbscan_labels": lambda s, d: density.hdbscan(vector_rows(s, d)),
     "kmeans": lambda s, d: vectors.kmeans(vector_rows(s, d)),
     "blockquotes": lambda s, d: validate.blockquotes(reports(s, d)),
     "format_check": lambda s, d: validate.missing_sections(reports(s, d)),
     "word_count": lambda s, d: validate.word_count(reports(s, d)),
     "quote_match": lambda s, d: validate.quote_match(shared_quotes(s, d), reviews(s, d)).select("line_no", "matched"),
-    "quote_match_all": lambda s, d: validate.quote_match(all_shared_quotes(s, d), reviews(s, d)).select("line_no", "matched"),
     "report_decision": lambda s, d: validate.decide(reports(s, d), validate.blockquotes(reports(s, d)).withColumn("matched", F.length("quote") % 2 == 0), validate.missing_sections(reports(s, d))),
     "theme_coverage": lambda s, d: validate.theme_coverage(reports(s, d), members(s, d).filter("theme_id >= 0").groupBy("theme_id").agg(F.count("*").alias("n")).withColumn("label", F.element_at(F.array(*map(F.lit, ("app", "Login", "fees", "")),), F.col("theme_id") % 4 + 1))),
     "run_latest": lambda s, d: registry.latest(run_events(s, d)),
@@ -156,6 +156,9 @@ EVENTS = f"""ev as (select user_id::varchar as run_id, event_id as event_seq, ca
     la as (select run_id, arg_max(status, event_seq) filter (status is not null) as status, arg_max(step, event_seq) filter (step is not null) as step, min(event_seq) as created_seq from ev group by 1)"""
 COS = "list_cosine_similarity(cast(embedding as double[]), centroid)"
 
+#: The first chunk of every review.
+FIRST = "f as (select case when review_id is not null then concat(review_id, '_chunk_0') end as chunk_id, seq from clean_reviews)"
+
 ORACLE_SQL = {
     "map_review": """select seq, coalesce(reviewId, '') as review_id, coalesce(userName, '') as author_name, coalesce(content, '') as text, coalesce(score, 0) as star_rating, coalesce(strftime("at", '%Y-%m-%d'), '') as date, coalesce(thumbsUpCount, 0) as thumbs_up_count, coalesce(appVersion, '') as app_version from raw_reviews""",
     "window_filter": f"""select seq from raw_reviews where "at" is null or "at" >= timestamp '{DEFAULTS.window_start}'""",
@@ -179,9 +182,9 @@ ORACLE_SQL = {
         else list_transform(range(0, c), lambda i: array_to_string(k[i*384+1 : i*384+512], ' ')) end as p from ss),
         u as (select seq, review_id, len(p) as total_chunks, cast(generate_subscripts(p, 1) - 1 as integer) as chunk_index, unnest(p) as t from pc)
         select review_id || '_chunk_' || chunk_index as chunk_id, seq, chunk_index, total_chunks, length(t) as chars from u""",
-    "embed_batches": "with n as (select *, row_number() over (order by seq) as row_no from chunk_vectors where chunk_id not in (select chunk_id from chunk_vectors where seq % 3 = 0 and chunk_id is not null)) select (row_no - 1) // 256 as batch_id, count(*) as n, min(seq) as first_seq, max(seq) as last_seq from n group by 1",
-    "cache_skip": "select seq from chunk_vectors where chunk_id not in (select chunk_id from chunk_vectors where seq % 3 = 0)",
-    "vector_upsert": "with o as (select chunk_id, seq from chunk_vectors where seq % 3 = 0), n as (select chunk_id, seq from chunk_vectors where seq % 4 = 0) select * from o where chunk_id not in (select chunk_id from n) union all select * from n",
+    "embed_batches": f"with {FIRST}, n as (select *, row_number() over (order by seq) as row_no from f where chunk_id is null or chunk_id not in (select chunk_id from chunk_vectors where chunk_id is not null)) select (row_no - 1) // 256 as batch_id, count(*) as n, min(seq) as first_seq, max(seq) as last_seq from n group by 1",
+    "cache_skip": f"with {FIRST} select seq from f where chunk_id is null or chunk_id not in (select chunk_id from chunk_vectors where chunk_id is not null)",
+    "vector_upsert": f"with {FIRST} select chunk_id, seq from chunk_vectors where chunk_id is null or chunk_id not in (select chunk_id from f where chunk_id is not null) union all select * from f",
     "centroids": "with e as (select cast(length(chunk_text) % 5 as integer) as label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from chunk_vectors where embedding is not null), a as (select label, i, avg(x::double) as m, count(*) as n from e group by 1, 2) select label, max(n) as n, list(round(m, 6) order by i) as centroid from a group by 1",
     "representative_quotes": f"""with {MEMBERS}, tm as (select distinct theme_id, review_id from m where theme_id >= 0), tv as (select theme_id, v.* from chunk_vectors v join tm using (review_id) where embedding is not null),
         e as (select theme_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from tv), av as (select theme_id, i, avg(x::double) as mm from e group by 1, 2), ce as (select theme_id, list(mm order by i) as centroid from av group by 1),
@@ -190,13 +193,13 @@ ORACLE_SQL = {
         select theme_id, rank, review_id, similarity, quote from rk join tx using (review_id) where quote <> ''""",
     "majority_vote": "with l as (select chunk_id, review_id, cast((length(chunk_text) + chunk_index) % 4 - 1 as integer) as label from chunk_vectors where review_id is not null), c as (select review_id, label, count(*) as votes, min(chunk_id) as f from l group by 1, 2) select review_id, label as theme_id, votes from c qualify row_number() over (partition by review_id order by votes desc, f) = 1",
     "cluster_shape": "with l as (select cast((length(chunk_text) + chunk_index) % 4 - 1 as integer) as label from chunk_vectors) select count(distinct case when label <> -1 then label end) as clusters, round(coalesce(avg(case when label = -1 then 1.0 else 0.0 end), 0), 9)::double as noise_share from l",
-    "chunk_meta": """with l as (select chunk_id, cast((length(chunk_text) + chunk_index) % 4 - 1 as integer) as label from chunk_vectors), k as (select chunk_id, min(review_id) as kr, min(chunk_index) as ki from chunk_vectors where seq % 2 = 0 group by 1)
+    "chunk_meta": """with l as (select chunk_id, cast((length(chunk_text) + chunk_index) % 4 - 1 as integer) as label from chunk_vectors), k as (select chunk_id, min(review_id) as kr, min(chunk_index) as ki from chunk_vectors where chunk_index = 0 group by 1)
         select chunk_id, label, coalesce(kr, nullif(regexp_extract(chunk_id, '^(.*)_chunk_', 1), ''), chunk_id) as review_id, coalesce(ki, 0) as chunk_index from l left join k using (chunk_id)""",
     "blockquotes": f"with {QUOTES} select * from qq",
     "format_check": f"with {SECTIONS} select * from ms",
     "word_count": f"with {LINES}, w as (select report_id, len(list_filter(regexp_split_to_array(markdown, '[\\t-\\r ]+'), lambda x: x <> '')) as words from mk) select report_id, words, words > 250 as too_long from w",
     # An altered quote has six signs more than what it quotes; at the end of a text it is compared with less than its own length.
-    "quote_match": """with q as (select cast(seq as integer) as line_no, seq % 2 = 0 as literal, length(original_text) <= 64 as ends, length(substr(original_text, 5, 60)) as n from clean_reviews where thumbs_up_count >= 40 and length(original_text) >= 40 order by seq limit 40)
+    "quote_match": """with q as (select cast(seq as integer) as line_no, seq % 2 = 0 as literal, length(original_text) <= 64 as ends, length(substr(original_text, 5, 60)) as n from clean_reviews where thumbs_up_count >= 40 and length(original_text) >= 40)
         select line_no, literal or case when ends then 2 * n / (2 * n + 6.0) else n / (n + 6.0) end >= 0.85 as matched from q""",
     "report_decision": f"""with {QUOTES}, rs(section) as (values {", ".join(f"('{x}')" for x in validate.REQUIRED_SECTIONS)}), ms as (select report_id, section from mk, rs where not regexp_matches(lower(markdown), '#+\\s*' || lower(section))),
         a as (select report_id, count(*) as quotes, count(*) filter (length(quote) % 2 = 0) as matched from qq group by 1), b as (select report_id, count(*) as sections_missing from ms group by 1),
