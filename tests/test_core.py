@@ -295,7 +295,7 @@ def test_all_quotes_are_matched(spark, tmp_path):
     texts = [f"review number {i} tells of a screen that froze while paying {i * 37} rupees to a shop" for i in range(60)]
     rows = [(i, f"r{i}", t, t, 40 + i) for i, t in enumerate(texts)] + [(60, "r60", texts[0], texts[0], 39)]
     spark.createDataFrame(rows, "seq long, review_id string, original_text string, cleaned_text string, thumbs_up_count int").coalesce(1).write.parquet(str(tmp_path / "clean_reviews.parquet"))
-    got = {r["line_no"]: r["matched"] for r in catalog.QUERIES["quote_match_all"](spark, str(tmp_path)).collect()}
+    got = {r["line_no"]: r["matched"] for r in catalog.QUERIES["quote_match"](spark, str(tmp_path)).collect()}
     quotes = [t[4:64] if i % 2 == 0 else f"zz#{t[4:64]}#zz" for i, t in enumerate(texts)]
     assert got == {i: any(validate.partial_ratio(q, t) >= 85 for t in texts) for i, q in enumerate(quotes)} and len(got) == 60
 
