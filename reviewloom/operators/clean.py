@@ -44,11 +44,14 @@ def with_reason(raw: DataFrame, cfg: EngineConfig = DEFAULTS, form: str = "NFKC"
 
     english: another language predicate over the column ``processed``.
     """
-    rows = spread(raw).withColumn("processed", T.strip_html_urls(T.normalise_unicode(F.coalesce("text", F.lit("")), form)))
-    p = F.col("processed")
-    judged = english if english is not None else T.is_english(p)
-    reason = F.when(p == "", "empty").when(~judged, "non_english").when(F.length(p) < cfg.min_review_length, "short")
-    return rows.withColumn("reason", reason)
+    processed = T.strip_html_urls(T.normalise_unicode(F.coalesce("text", F.lit("")), form))
+    reason = lambda p, judged: F.when(p == "", "empty").when(~judged, "non_english").when(F.length(p) < cfg.min_review_length, "short")
+    if english is not None:
+        return spread(raw).withColumn("processed", processed).withColumn("reason", reason(F.col("processed"), english))
+    # Bound as a variable, the processed text is computed once, not once for each place where it is looked at.
+    judge = lambda p: F.struct(p.alias("processed"), reason(p, T.is_english(p)).alias("reason"))
+    rows = spread(raw).withColumn("_judged", F.element_at(F.transform(F.array(processed), judge), 1))
+    return rows.select(*raw.columns, "_judged.processed", "_judged.reason")
 
 
 def clean(raw: DataFrame, cfg: EngineConfig = DEFAULTS, form: str = "NFKC", english: Column | None = None) -> DataFrame:
