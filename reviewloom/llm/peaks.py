@@ -5,7 +5,8 @@ iteration over all texts finds. Equal vectors are one point with their number as
 around pivots drawn from them, as many as give ``CELL`` points a cell, so that the cells of a point are those of its
 neighbours. In blocked joins every point meets all points of its own and the ``VISITS`` - 1 next cells: their part of its
 density is exact, with one kernel width for the whole collection; every further cell counts by its number of points at the
-kernel value of its centre, so all points count in every density. The nearest denser point is looked for in the same cells,
+kernel value of its centre, so all points count in every density. The width is found in the same way: all records are
+counted around all records, the near ones one by one and further cells at their centres. The nearest denser point is looked for in the same cells,
 and among all points for those that are the densest of their cells. The peaks are chosen where density times distance falls
 off most sharply within ``THEMES``, and all others follow their pointers, twice as far in each round, to one of them.
 Crowded cells are divided among tasks, both as those met and as those meeting. The work grows in proportion to the points,
@@ -39,8 +40,8 @@ LONG = 12
 CELL, VISITS, MAX_PIVOTS = 2048, 3, 1 << 16
 #: Points that are the densest of their cells, compared with all in one pass.
 LEADERS_AT_ONCE = 20_000
-#: The kernel width is taken on at most so many records, those with the smallest hash; on all if there are no more.
-WIDTH_SAMPLE = 4096
+#: Distances between records are counted in bins of a quarter of a power of two, so many at once: those from 2 ** -5 of a first estimate.
+BINS, BELOW = 28, 20
 #: "About a dozen" subjects, as the problem says.
 THEMES = (10, 14)
 #: The share of records that count as near, and the cosine below which a short text has no subject.
@@ -165,14 +166,30 @@ def _vectors(features: DataFrame, axes: np.ndarray) -> DataFrame:
     return features.select("rep", "long", "words", "weights").mapInArrow(run, "rep long, long boolean, z array<float>")
 
 
-def kernel_width(z: np.ndarray) -> float:
-    """The median distance within which NEAR_SHARE of the records lie."""
-    n = len(z)
-    if n < 2:
-        return 1e-6
-    k = min(n - 1, max(1, int(n * NEAR_SHARE)))
-    reach = np.concatenate([np.partition(1 - z[i : i + 512] @ z.T, k, axis=1)[:, k] for i in range(0, n, 512)])
-    return max(float(np.median(reach)), 1e-6)
+def _bin(distance: np.ndarray) -> np.ndarray:
+    """The number of the bin that holds a distance: bins begin at the numbers 1, 1.25, 1.5 and 1.75 times a power of two."""
+    return np.maximum(distance, 0).astype(np.float32).view(np.int32) >> 21
+
+
+def _bin_start(number: np.ndarray | int) -> np.ndarray:
+    return (np.atleast_1d(number).astype(np.int32) << 21).view(np.float32).astype(np.float64)
+
+
+def _counts(distance: np.ndarray, weight: np.ndarray, base: int) -> np.ndarray:
+    """(rows, BINS): for each row of distances the weight of what lies below the ends of BINS bins from ``base`` on."""
+    inside = distance < np.float32(_bin_start(base + BINS)[0])
+    near = np.flatnonzero(inside.ravel())
+    row = np.repeat(np.arange(len(distance)), np.count_nonzero(inside, axis=1))
+    at = np.maximum(_bin(distance.ravel()[near]) - base, 0) + row * BINS
+    each = np.bincount(at, None if (weight == 1).all() else weight[near - row * distance.shape[1]], len(distance) * BINS)
+    return each.reshape(len(distance), BINS).cumsum(axis=1).astype(np.float64)
+
+
+_COUNTS = [f"n{i}" for i in range(BINS)]
+
+
+def _count_rows(rep: pa.Array, m: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([rep, m, *(pa.array(np.ascontiguousarray(n[:, i])) for i in range(BINS))], names=["rep", "m", *_COUNTS])
 
 
 class Cells:
@@ -260,6 +277,71 @@ class Cells:
 
         return points.select("rep", "z").mapInArrow(run, "rep long, mass double")
 
+    def around(self, longs: DataFrame, base: int) -> DataFrame:
+        """(rep, m, n0, n1, ..): how many records lie around each point below the ends of bins from ``base`` on, itself included."""
+        pivots, centres, visits, dim = self.pivots, self.centres, self.visits, self.dim
+        kinds = "rep long, m long, " + ", ".join(f"{n} double" for n in _COUNTS)
+
+        def near(block: pa.Table) -> pa.Table:
+            block = block.combine_chunks().sort_by("rep")
+            z, weight = _dense_rows(block.column("z").combine_chunks(), dim), block.column("m").to_numpy().astype(np.float64)
+            met, query = np.flatnonzero(block.column("met").to_numpy()), np.flatnonzero(block.column("query").to_numpy())
+            y, of, n = z[met].T, weight[met], np.zeros((len(query), BINS))
+            for i in range(0, len(query) if len(met) else 0, 256):
+                n[i : i + 256] = _counts(1 - z[query[i : i + 256]] @ y, of, base)
+            asked = block.take(pa.array(query)).combine_chunks()
+            return pa.Table.from_batches([_count_rows(asked.column("rep").combine_chunks(), asked.column("m").combine_chunks(), n)])
+
+        def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p, (count, mean, _) = pivots.value, centres.value
+            at_once = max(1, 4_000_000 // len(p))
+            for batch in batches:
+                for at in range(0, batch.num_rows, at_once):
+                    part = batch.slice(at, at_once)
+                    z = _dense_rows(part.column(1), dim)
+                    d = 1 - z @ mean.T
+                    np.put_along_axis(d, np.argpartition(-(z @ p.T), visits - 1, axis=1)[:, :visits], np.float32(np.inf), axis=1)
+                    yield _count_rows(part.column(0), part.column(2), _counts(d, count, base))
+
+        found = self.routed(longs, ["m"]).groupBy("cell", "shard", "part").applyInArrow(near, kinds)
+        if visits < len(pivots.value):
+            found = found.unionByName(longs.select("rep", "z", "m").mapInArrow(far, kinds))
+        return found.groupBy("rep").agg(F.first("m").alias("m"), *(F.sum(n).alias(n) for n in _COUNTS))
+
+    def kernel_width(self, points: DataFrame) -> float:
+        """The median, over all records, of the distance within which NEAR_SHARE of the records lie; interpolated within a bin."""
+        n, mean, _ = self.centres.value
+        total = int(n.sum())
+        if total < 2:
+            return 1e-6
+        need = 1 + min(total - 1, max(1, int(total * NEAR_SHARE)))
+        # First estimate: each cell's records at its centre, as far from one another as they are on average.
+        reach = np.empty(len(n))
+        for i in range(0, len(n), 128):
+            d = 1 - mean[i : i + 128] @ mean.T
+            order = d.argsort(axis=1)
+            place = (np.take_along_axis(np.broadcast_to(n, d.shape), order, axis=1).cumsum(axis=1) >= need).argmax(axis=1)
+            reach[i : i + 128] = np.take_along_axis(d, order, axis=1)[np.arange(len(d)), place]
+        by_reach = reach.argsort()
+        estimate = reach[by_reach][(n[by_reach].cumsum() * 2 >= total).argmax()]
+        least = int(_bin(np.float32([1e-6]))[0])
+        base = max(least, int(_bin(np.float32([estimate]))[0]) - BELOW)
+        longs = points.filter("long")
+        while True:
+            enough = self.around(longs, base).agg(*(F.sum(F.when(F.col(c) >= need, F.col("m")).otherwise(0)).alias(c) for c in _COUNTS)).first()
+            share = np.array([enough[c] or 0 for c in _COUNTS]) / total
+            if share[0] >= 0.5 and base > least:  # the first bin holds all that is nearer
+                base = max(least, base - BINS + 1)
+            elif share[-1] < 0.5 and _bin_start(base + BINS)[0] < 4:
+                base += BINS - 1
+            else:
+                break
+        i = int((share >= 0.5).argmax())
+        low, high = _bin_start(base + i)[0], _bin_start(base + i + 1)[0]
+        if not i:
+            return max(high, 1e-6)
+        return max(float(low + (high - low) * (0.5 - share[i - 1]) / (share[i] - share[i - 1])), 1e-6)
+
 
 def _dense_rows(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
@@ -370,9 +452,8 @@ class Themes:
         if not n_long:
             self.labels = self.classes.select("rep", F.lit(0).alias("theme_id"), F.lit(0.0).alias("rho"))
             return
-        sample = points.filter("long").orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(WIDTH_SAMPLE).select("z").toPandas()
-        width = kernel_width(np.stack(sample["z"].to_numpy()).astype(np.float64))
         cells = Cells(points, n_long, cell, visits)
+        width = cells.kernel_width(points)
         block = ("cell", "shard", "part")
         near = cells.routed(points, ["long", "m"]).groupBy(*block).applyInPandas(lambda pdf: _near(pdf, width), "rep long, mass double, best double, nearest long")
         far = cells.far(points.filter("long"), width).select("rep", "mass", F.lit(-2.0).alias("best"), F.lit(-1).cast("long").alias("nearest"))

@@ -444,3 +444,27 @@ def test_themes_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "two words")], "seq long, cleaned_text string")
     assert {tuple(r) for r in peaks.Themes(df).row_labels().collect()} == {(1, 0), (2, 0)}
     assert peaks.Themes(df.limit(0)).row_labels().count() == 0
+
+
+def test_width_is_that_of_all_records(spark):
+    """The kernel width counts every record: it is the exact median within two hundredths, and a fifth of rare records moves it."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    # Twelve tight subjects, and one as large as three of them that is looser.
+    centre = np.repeat(rng.normal(size=(13, 6)), [400] * 12 + [1300], axis=0)
+    z = centre + rng.normal(size=centre.shape) * np.repeat([0.1, 0.6], [4800, 1300])[:, None]
+    z = (z / np.linalg.norm(z, axis=1, keepdims=True)).astype(np.float32)
+    m = rng.integers(1, 4, len(z))
+    total, reach = m.sum(), []
+    for i in range(0, len(z), 500):
+        d = 1 - z[i : i + 500] @ z.T
+        order = d.argsort(axis=1)
+        at = (m[order].cumsum(axis=1) >= 1 + int(total * peaks.NEAR_SHARE)).argmax(axis=1)
+        reach += np.take_along_axis(d, order, axis=1)[np.arange(len(d)), at].tolist()
+    exact = np.median(np.repeat(reach, m))
+    points = spark.createDataFrame([(i, True, v, int(n)) for i, (v, n) in enumerate(zip(z.tolist(), m))], "rep long, long boolean, z array<float>, m long").repartition(3)
+    assert peaks.Cells(points, len(z), 8000, 3).kernel_width(points) == pytest.approx(exact, rel=0.02)
+    assert peaks.Cells(points, len(z), 300, 6).kernel_width(points) == pytest.approx(exact, rel=0.06)
+    one = points.limit(1).withColumn("m", F.lit(1).cast("long"))
+    assert peaks.Cells(one, 1, 300, 3).kernel_width(one) == 1e-6
