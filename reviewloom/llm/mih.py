@@ -6,9 +6,9 @@ index each. If two codes differ in at most ``RADIUS`` bits, one of their substri
 probing all keys within that distance in each index therefore retrieves every code within the radius. What is retrieved
 is compared by quantised vectors under a proven error bound, and the rest is ranked by the exact cosine.
 
-Each index is distributed by the leading bits of the substring, more of them as the collection grows, so that a part holds
-about ``PART`` codes; a vector is sent only to the parts that its probes can reach, and parts whose keys are crowded are
-divided further.
+Codes are divided at random into blocks of at most about ``BLOCK`` times ``PART``, and every two blocks meet in one task, which
+holds the four indexes of one of them. A vector is thus sent once for each block, and no task grows with the collection. Where
+keys are crowded, all codes of a key are compared with all that they can reach at once.
 
 That serves neighbours above a floor. The nearest at any cosine (``nearest``) are often a fifth of all bits away. For them
 codes of 256 bits are cut into sixteen substrings, each probed within r bits, which proves all codes within 16 * (r + 1) - 1
@@ -42,8 +42,10 @@ _SUB = BITS // SUBSTRINGS
 #: A retrieved code this many bits beyond the radius is still ranked: the probes find some of those as well.
 BEYOND = 3
 PART = 100_000
-#: Probes that a task takes at most, in multiples of PART.
-PROBES = 8
+#: Codes of a block at most, in multiples of PART, and the least number of blocks.
+BLOCK, BLOCKS = 8, 6
+#: Codes a key from which those of a key are compared together.
+CROWDED = 4
 #: Codes of ``nearest``, the bits within which each substring is probed, and the least chance to retrieve a vector as near as the k-th found.
 NEAR_BITS, NEAR_RADII, EXPECTED = 256, (2, 4, 6, _SUB), 0.75
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -146,12 +148,12 @@ class MultiIndex:
         x = _matrix(sample.column("v").combine_chunks(), self.dim)
         return learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), bits)
 
-    def _routed(self, leading: int, dim: int) -> DataFrame:
-        """A row for each vector, substring and part in reach: (sub, part, home, rep, code, q, scale)."""
-        rotation = self.spark.sparkContext.broadcast(self._rotation())
-        reach = masks_within(leading, self.radius // SUBSTRINGS) if leading else np.zeros(1, np.int64)
+    def _routed(self, blocks: int) -> DataFrame:
+        """A row for each vector and block that its own one meets: (pair, first, rep, code, q, scale); first for the lower of the two blocks."""
+        rotation, dim = self.spark.sparkContext.broadcast(self._rotation()), self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            other = np.arange(blocks)
             for batch in batches:
                 for at in range(0, batch.num_rows, 4000):
                     part = batch.slice(at, 4000)
@@ -160,40 +162,25 @@ class MultiIndex:
                     code = np.packbits(x @ rotation.value >= 0, axis=1).view(np.uint64)[:, 0]
                     scale = np.abs(x).max(axis=1) / 127
                     q = np.round(x / scale[:, None]).astype(np.int8)
-                    n, k = len(x), len(reach)
-                    packed = pa.Array.from_buffers(pa.binary(dim), n, [None, pa.py_buffer(q.tobytes())]).cast(pa.binary())
-                    for s in range(SUBSTRINGS):
-                        key = (code.view(np.uint16).reshape(n, SUBSTRINGS)[:, s] >> (_SUB - leading)).astype(np.int64) if leading else np.zeros(n, np.int64)
-                        parts = (key[:, None] ^ reach[None]).ravel()
-                        rows = np.repeat(np.arange(n), k)
-                        columns = [pa.array(np.full(n * k, s, np.int32)), pa.array(parts.astype(np.int32)), pa.array(parts == key[rows]), part.column(0).take(pa.array(rows)), pa.array(code.view(np.int64)[rows]), packed.take(pa.array(rows)), pa.array(scale[rows])]
-                        yield pa.RecordBatch.from_arrays(columns, names=["sub", "part", "home", "rep", "code", "q", "scale"])
+                    packed = pa.Array.from_buffers(pa.binary(dim), len(x), [None, pa.py_buffer(q.tobytes())]).cast(pa.binary())
+                    own = (part.column(0).to_numpy() * 2654435761 % (1 << 32) >> 7) % blocks
+                    rows, met = np.repeat(np.arange(len(x)), blocks), np.tile(other, len(x))
+                    low, high, take = np.minimum(own[rows], met), np.maximum(own[rows], met), pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array((low * blocks + high).astype(np.int32)), pa.array(own[rows] == low), part.column(0).take(take), pa.array(code.view(np.int64)[rows]), packed.take(take), pa.array(scale[rows])], names=["pair", "first", "rep", "code", "q", "scale"])
 
-        return self.classes.select("rep", "v").mapInArrow(run, "sub int, part int, home boolean, rep long, code long, q binary, scale double")
+        return self.classes.select("rep", "v").mapInArrow(run, "pair int, first boolean, rep long, code long, q binary, scale double")
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b: the classes whose codes are within the radius and whose cosine may reach the floor."""
         n = self.classes.count()
         if not n:
             return self.spark.createDataFrame([], "a long, b long")
-        leading = max(0, min(_SUB - 2, int(np.ceil(np.log2(max(1, n / PART))))))
-        dim, radius, floor = self.dim, self.radius, self.floor
+        blocks = max(BLOCKS, -(-n // (BLOCK * PART)))
+        dim, radius, floor, crowded = self.dim, self.radius, self.floor, CROWDED
         near_keys = masks_within(_SUB, radius // SUBSTRINGS).astype(np.int64)
 
-        def probe(pdf: pd.DataFrame) -> pd.DataFrame:
-            sub = int(pdf["sub"].iat[0])
-            rep, scale = pdf["rep"].to_numpy(), pdf["scale"].to_numpy()
-            code = pdf["code"].to_numpy().view(np.uint64)
-            q = np.frombuffer(b"".join(pdf["q"]), np.int8).reshape(len(pdf), dim)
-            home = np.flatnonzero(pdf["home"].to_numpy())
-            key = code.view(np.uint16).reshape(-1, SUBSTRINGS)[:, sub].astype(np.int64)
-            home = home[np.argsort(key[home], kind="stable")]
-            first = np.searchsorted(key[home], np.arange((1 << _SUB) + 1))
-            # Quantisation moves a component by half a step at most, so a cosine by at most the sum below.
-            slack = np.sqrt(dim) * 0.5 * scale
-            found_a, found_b = [], []
+        def one_by_one(code: np.ndarray, key: np.ndarray, home: np.ndarray, first: np.ndarray, probing: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             at_once = max(1, 4_000_000 // max(1, len(home) // 16 + len(near_keys)))
-            probing = np.flatnonzero(pdf["probe"].to_numpy())
             for at in range(0, len(probing), at_once):
                 probes = probing[at : at + at_once]
                 keys = (key[probes, None] ^ near_keys[None]).ravel()
@@ -204,17 +191,60 @@ class MultiIndex:
                 # Runs of candidates, some millions at a time.
                 cut = np.unique(np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + 4_000_000, 4_000_000), side="right"))
                 for lo, hi in zip(cut, [*cut[1:], len(ends)]):
-                    if lo >= hi:
-                        continue
-                    c = counts[lo:hi]
-                    a = np.repeat(owner[lo:hi], c)
-                    b = home[np.repeat(starts[lo:hi] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
-                    keep = rep[a] < rep[b]
-                    a, b = a[keep], b[keep]
-                    x = code[a] ^ code[b]
-                    keep = np.bitwise_count(x) <= radius + BEYOND
-                    a, b, x = a[keep], b[keep], x[keep]
+                    if lo < hi:
+                        c = counts[lo:hi]
+                        a = np.repeat(owner[lo:hi], c)
+                        b = home[np.repeat(starts[lo:hi] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+                        keep = np.bitwise_count(code[a] ^ code[b]) <= radius + BEYOND
+                        yield a[keep], b[keep]
+
+        def by_key(code: np.ndarray, key: np.ndarray, home: np.ndarray, first: np.ndarray, probing: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            held = code[home]
+            probing = probing[np.argsort(key[probing], kind="stable")]
+            each, begin, size = np.unique(key[probing], return_index=True, return_counts=True)
+            found, many = [], 0
+            for k, at, m in zip(each.tolist(), begin.tolist(), size.tolist()):
+                keys = k ^ near_keys
+                starts, c = first[keys], first[keys + 1] - first[keys]
+                reach = np.repeat(starts - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                y = held[reach]
+                step = max(1, 1_000_000 // max(1, len(y)))
+                for i in range(at, at + m if len(y) else at, step):
+                    probes = probing[i : min(i + step, at + m)]
+                    hit = np.flatnonzero(np.bitwise_count(code[probes, None] ^ y[None]) <= radius + BEYOND)
+                    found.append((probes[hit // len(y)], home[reach[hit % len(y)]]))
+                    many += len(hit)
+                    if many > 1_000_000:
+                        yield tuple(np.concatenate(x) for x in zip(*found))
+                        found, many = [], 0
+            if found:
+                yield tuple(np.concatenate(x) for x in zip(*found))
+
+        def probe(block: pa.Table) -> pa.Table:
+            block = block.combine_chunks()
+            rep, scale, first_block = (block.column(c).to_numpy() for c in ("rep", "scale", "first"))
+            code = block.column("code").to_numpy().view(np.uint64)
+            packed = block.column("q").combine_chunks()
+            packed = packed if isinstance(packed, pa.Array) else packed.chunk(0)
+            q = np.frombuffer(packed.buffers()[2], np.int8)[np.frombuffer(packed.buffers()[1], np.int32)[packed.offset] :][: len(rep) * dim].reshape(-1, dim)
+            pair = block.column("pair")[0].as_py()
+            within = pair // blocks == pair % blocks
+            home = np.flatnonzero(first_block)
+            probing = home if within else np.flatnonzero(~first_block)
+            # Quantisation moves a component by half a step at most, so a cosine by at most the sum below.
+            slack = np.sqrt(dim) * 0.5 * scale
+            found_a, found_b = [], []
+            for sub in range(SUBSTRINGS):
+                key = code.view(np.uint16).reshape(-1, SUBSTRINGS)[:, sub].astype(np.int64)
+                home = home[np.argsort(key[home], kind="stable")]
+                first = np.searchsorted(key[home], np.arange((1 << _SUB) + 1))
+                way = by_key if len(home) >= crowded * np.count_nonzero(np.diff(first)) else one_by_one
+                for a, b in way(code, key, home, first, probing):
+                    if within:  # each pair is met from both sides
+                        keep = rep[a] < rep[b]
+                        a, b = a[keep], b[keep]
                     if sub:  # a pair is reported by the first index that finds it
+                        x = code[a] ^ code[b]
                         earlier = np.bitwise_count(x.view(np.uint16).reshape(-1, SUBSTRINGS)[:, :sub]).min(axis=1)
                         keep = earlier > radius // SUBSTRINGS
                         a, b = a[keep], b[keep]
@@ -225,23 +255,10 @@ class MultiIndex:
                         found_a.append(rep[i[keep]])
                         found_b.append(rep[j[keep]])
             none = np.zeros(0, np.int64)
-            return pd.DataFrame({"a": np.concatenate([none, *found_a]), "b": np.concatenate([none, *found_b])})
+            a, b = np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-        routed = self._routed(leading, dim)
-        # Crowded parts: home codes are divided among shards, and what probes them goes to each shard. Probes are divided among
-        # slices as they grow with the parts in reach, and home codes go to each slice. A task's rows are thus bounded.
-        shards = F.lit(1)
-        if leading:
-            homes = stage(routed.filter("home").groupBy("sub", "part").agg(F.ceil(F.count("*") / (4 * PART)).cast("int").alias("shards")), "crowds")
-            routed = routed.join(F.broadcast(homes), ["sub", "part"])  # at most 4 * 2 ** leading rows
-            shards = F.col("shards")
-        slices = -(-len(masks_within(leading, radius // SUBSTRINGS)) // PROBES) if leading else 1
-        h = F.xxhash64("rep")
-        placed = (
-            routed.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-            .withColumn("home", F.col("home") & (F.col("shard") == F.pmod(h, shards))).withColumn("probe", F.col("slice") == F.pmod(F.shiftright(h, 20), F.lit(slices))).filter("home or probe")
-        )
-        return placed.select("sub", "part", "shard", "slice", "home", "probe", "rep", "code", "q", "scale").groupBy("sub", "part", "shard", "slice").applyInPandas(probe, "a long, b long")
+        return self._routed(blocks).groupBy("pair").applyInArrow(probe, "a long, b long")
 
     def _cosines(self, pairs: DataFrame) -> DataFrame:
         """(a, b, cosine) of pairs of distinct vectors, exact to twelve digits."""

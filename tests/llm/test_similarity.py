@@ -255,6 +255,21 @@ def test_neighbours_across_many_parts(spark, monkeypatch):
     assert len(got & brute_pairs(rows)) >= 0.97 * len(brute_pairs(rows)) and got <= brute_pairs(rows)
 
 
+@pytest.mark.parametrize("crowded", [0, 1 << 30])
+def test_blocks_meet_once_and_each_vector_goes_to_each_block(spark, monkeypatch, crowded):
+    """A vector is sent once for each block, not for each part in reach of its probes, and both ways of comparing find the same pairs."""
+    monkeypatch.setattr(mih, "PART", 2)
+    monkeypatch.setattr(mih, "CROWDED", crowded)
+    rows = vectors()
+    index = mih.MultiIndex(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "seq long, embedding array<float>"))
+    n, blocks = index.classes.count(), -(-index.classes.count() // 16)
+    assert blocks > mih.BLOCKS and index._routed(blocks).count() == n * blocks
+    found = [tuple(r) for r in index.candidates().collect()]
+    assert len(found) == len(set(found)) and all(a < b for a, b in found)
+    got = {tuple(r) for r in index.neighbour_pairs().collect()}
+    assert got <= brute_pairs(rows) and len(got) >= 0.97 * len(brute_pairs(rows))
+
+
 def brute_nearest(rows, k=5):
     ok = [i for i, r in enumerate(rows) if r is not None and len(r) == 64 and all(x is not None and x == x for x in r) and any(r)]
     x = np.array([rows[i] for i in ok], np.float64)
